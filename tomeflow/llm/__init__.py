@@ -1,10 +1,18 @@
 """Operators for training data. Nothing outside this package imports it."""
 
-from tomeflow.llm import packing, tokens
+from tomeflow.llm import packing, repeated_lines, splitting, tokens
 
 QUERIES = {
+    "p4_found": splitting.p4_found,
+    "p4_pieces": splitting.p4_pieces,
+    "p6_found": repeated_lines.p6_found,
+    "p6_clean": repeated_lines.p6_clean,
     "p7_ids": tokens.p7_ids,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p4_found": splitting.P4_FOUND_SQL,
+    "p6_found": repeated_lines.P6_FOUND_SQL,
+    "p6_clean": repeated_lines.P6_CLEAN_SQL,
+}
