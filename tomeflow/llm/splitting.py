@@ -56,7 +56,7 @@ def cuts(paragraphs: list[int], sentences: list[int], start: int, stop: int, max
             half = max(end, first + max_size // 2)
             cut = _last(paragraphs, half, limit) or _last(sentences, half, limit) or max(_last(paragraphs, end, limit) or 0, _last(sentences, end, limit) or 0) or limit
         pieces.append((first, cut))
-        end, lead = cut, overlap
+        end, lead = cut, min(overlap, cut)
     return pieces
 
 
