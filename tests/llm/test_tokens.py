@@ -61,4 +61,4 @@ def test_best_fit(spark):
 
 def test_fullest_closes_first():
     fit = BestFit(10, open_bins=2)
-    assert [fit.add(n)[0][0] for n in (6, 7, 8, 3, 4)] == [0, 1, 2, 3, 3]
+    assert [fit.add(n)[0][0] for n in (6, 7, 8, 3, 4)] == [0, 1, 2, 0, 3]

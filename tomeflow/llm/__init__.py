@@ -1,6 +1,6 @@
 """Operators for training data. Nothing outside this package imports it."""
 
-from tomeflow.llm import packing, repeated_lines, splitting, tokens
+from tomeflow.llm import packing, repeated_lines, spam, splitting, tokens
 
 QUERIES = {
     "p4_found": splitting.p4_found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p7_ids": tokens.p7_ids,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
+    "p9_found": spam.p9_found,
 }
 ORACLE: dict[str, str] = {
     "p4_found": splitting.P4_FOUND_SQL,
