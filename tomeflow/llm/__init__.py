@@ -1,8 +1,10 @@
 """Operators for training data. Nothing outside this package imports it."""
 
-from tomeflow.llm import packing, repeated_lines, residue, spam, splitting, tokens
+from tomeflow.llm import packing, repeated_lines, residue, spam, splitting, tokens, truncation
 
 QUERIES = {
+    "p3_found": truncation.p3_found,
+    "p3_rates": truncation.p3_rates,
     "p1_found": residue.p1_found,
     "p1_clean": residue.p1_clean,
     "p4_found": splitting.p4_found,
