@@ -1,14 +1,18 @@
 """Operators for training data. Nothing outside this package imports it."""
 
-from tomeflow.llm import packing, repeated_lines, residue, spam, splitting, tokens, truncation
+from tomeflow.llm import encoding, neighbours, packing, repeated_lines, residue, spam, splitting, tokens, truncation
 
 QUERIES = {
+    "p2_found": encoding.p2_found,
+    "p2_restored": encoding.p2_restored,
     "p3_found": truncation.p3_found,
     "p3_rates": truncation.p3_rates,
     "p1_found": residue.p1_found,
     "p1_clean": residue.p1_clean,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
+    "p5_found": neighbours.p5_found,
+    "p5_top10": neighbours.p5_top10,
     "p6_found": repeated_lines.p6_found,
     "p6_clean": repeated_lines.p6_clean,
     "p7_ids": tokens.p7_ids,
