@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tomeflow.functions.text import col, truncate, volume_title
@@ -63,8 +64,6 @@ def to_index(novels: DataFrame, chunks: DataFrame, force: bool = False) -> DataF
 
 def embedded(chunks: DataFrame, provider, text_col: str = "content") -> DataFrame:
     """Chunks with the provider's vectors, in Arrow batches; rows whose embedding failed are left out."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series([provider.embed(t) or None for t in texts])

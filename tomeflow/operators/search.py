@@ -6,6 +6,7 @@ Scores are ordered with a fixed tie-break, and only the best k rows leave the ex
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tomeflow.functions.text import keyword_count, non_empty, tokens, truncate
@@ -211,8 +212,6 @@ def rerank(candidates: DataFrame, query: str, scorer, k: int, text_col: str = "s
     """Candidates by a model's score of (query, text); with no model they keep their order."""
     if scorer is None:
         return top(candidates, k, *ties)
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(scorer.score([query] * len(texts), list(texts)), dtype="float64")
