@@ -112,6 +112,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 #: codecs of more than one byte a character; all others map undefined bytes to the control of the same number
 WIDE = {"gbk": "gb18030", "big5": "cp950", "cp932": "cp932", "cp949": "cp949", "euc-jp": "euc-jp"}
+CONTROLS = [*map(chr, range(0x80, 0xA1)), "\xad"]
 _missed = 0
 
 
@@ -128,7 +129,7 @@ def _lost_byte(error: UnicodeError) -> tuple[bytes, int]:
         elif error.encoding in WIDE.values() or error.encoding in WIDE or error.encoding.startswith("euc"):
             other = ch.encode(WIDE.get(error.encoding, error.encoding), "ignore")
             raw, _missed = (other, _missed) if 0 < len(other) <= 2 else (raw, _missed + 1)
-        elif ord(ch) < 256:
+        elif "\x80" <= ch <= "\xa0" or ch == "\xad":
             raw = bytes([ord(ch)])
         else:
             _missed += 1
@@ -144,6 +145,12 @@ def _encode(text: str, codec: str) -> bytes | None:
     global _missed
     if codec.startswith("utf-16"):
         return text.replace(LOST, "\uffff").encode(codec, "surrogatepass")
+    # a quick look at how much the charset has, before its gaps are filled one by one
+    ascii_only = sum(c < "\x80" for c in text) if codec in WIDE else 0
+    most = 2 * (len(text) - ascii_only) + ascii_only if codec in WIDE else len(text)
+    filled = text.count(LOST) + sum(text.count(c) for c in CONTROLS) if codec not in WIDE else 2 * text.count(LOST)
+    if len(text.encode(codec, "ignore")) + filled < (0.8 if codec in WIDE else 0.9) * most:
+        return None
     _missed = 0
     raw = text.encode(codec, "lost-byte")
     return None if _missed > 0.1 * len(text) else raw
@@ -300,7 +307,7 @@ def examine(text: str | None, seen: Pairs) -> tuple[str | None, int, int]:
         if a >= b or b - a < 6 and any(ord(c) >= 0x2E80 for c in text[a:b]):
             continue  # wide characters are lost by the sentence; a few are a name
         spans = [(a, b)]
-        if b - a < 12:  # a pair reaches a character beyond a short run, or into it
+        if b - a < 12 and max(text[a:b]) < "\u2e80":  # a pair reaches a character beyond a short run, or into it
             spans += [(x, y) for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) if (x, y) != (a, b) and at <= x < y <= len(text)]
         found = x = y = None
         for known in (settled, None) if settled else (None,):
