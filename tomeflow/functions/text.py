@@ -111,9 +111,12 @@ def tokens(c: Column | str) -> Column:
     one = lambda w: F.regexp_extract_all(w, F.lit(f"({CJK})"), F.lit(1))
 
     def of(w: Column) -> Column:
-        chars = one(w)
-        pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-        return F.when(w.rlike("^[a-zA-Z]+$"), F.array(F.lower(w))).otherwise(F.concat(chars, pairs))
+        def with_pairs(chars: Column) -> Column:
+            n = F.greatest(F.size(chars) - 1, F.lit(0))
+            return F.concat(chars, F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
+
+        # an array of one binds the characters to a name, so that they are looked for once
+        return F.when(w.rlike("^[a-zA-Z]+$"), F.array(F.lower(w))).otherwise(F.transform(F.array(one(w)), with_pairs)[0])
 
     return F.flatten(F.transform(words, of))
 
