@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tomeflow.functions.text import keyword_count, non_empty, tokens, truncate
+from tomeflow.functions.text import contains_any, keyword_count, non_empty, tokens, truncate
 from tomeflow.functions.vector import cosine
 from tomeflow.operators.segment import paragraphs_a
 
@@ -164,10 +164,19 @@ def bm25(chapters: DataFrame, query: str, k: int = 5, novel_id: str | None = Non
         return paragraph_keyword(chapters, query, k, novel_id, chapter_range, min_len)
     rows = paragraphs(of_novel(chapters, novel_id), min_len)
     sizes, df = bm25_statistics(rows)
-    idf = bm25_idf(sizes, df).where(F.col("term").isin(sorted(set(terms))))
+    raw = df.join(sizes, "novel_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # the mean over the vocabulary and the query's own terms in one pass
+    wanted = sorted(set(terms))
+    own = raw.groupBy("novel_id").agg((F.avg("raw") * 0.25).alias("floor"), F.max("avgdl").alias("avgdl"), *(F.max(F.when(F.col("term") == t, F.col("raw"))).alias(f"raw_{i}") for i, t in enumerate(wanted)))
+    each = own.select("novel_id", "floor", "avgdl", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"raw_{i}").alias("raw")) for i, t in enumerate(wanted)))).alias("e")).where("e.raw IS NOT NULL")
+    idf = each.select("novel_id", "avgdl", "e.term", F.when(F.col("e.raw") < 0, F.col("floor")).otherwise(F.col("e.raw")).alias("idf"))
     weight = F.element_at(F.create_map(*(F.lit(x) for t in sorted(set(terms)) for x in (t, float(terms.count(t))))), F.col("term"))
-    counted = rows.withColumn("t", tokens("text")).withColumn("dl", F.size("t"))
-    hits = counted.withColumn("term", F.explode(F.array(*map(F.lit, sorted(set(terms)))))).withColumn("tf", F.size(F.filter("t", lambda x: x == F.col("term")))).where("tf > 0").drop("t")
+    # a paragraph with any of the terms holds one of the words or single characters among them
+    plain = [t for t in sorted(set(terms)) if len(t) == 1 or t.isascii()]
+    held = rows.where(contains_any(F.lower("text"), plain)).withColumn("t", tokens("text"))
+    counts = F.transform(F.array(*map(F.lit, sorted(set(terms)))), lambda term: F.struct(term.alias("term"), F.size(F.filter("t", lambda x: x == term)).alias("tf")))
+    hits = held.select("novel_id", "chapter_id", "chapter_index", "chapter_title", "paragraph_index", "text", F.size("t").alias("dl"), F.explode(counts).alias("c"))
+    hits = hits.select("*", "c.term", "c.tf").drop("c").where("tf > 0")
     gain = F.col("idf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     key = ["novel_id", "chapter_id", "chapter_index", "chapter_title", "paragraph_index"]
     scored = hits.join(idf, ["novel_id", "term"]).groupBy(*key).agg(F.sum(gain).alias("score"), F.first("text").alias("text")).where("score > 0")
