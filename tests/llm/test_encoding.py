@@ -57,3 +57,12 @@ def test_restores_and_spares(spark):
     exact = [r.raw_id for r in got if r.content == texts.get(r.raw_id)]
     assert len(exact) >= 0.4 * len(want)
     assert garbled(df.limit(0), "raw_id", "content").count() == 0
+
+
+def test_half_width_katakana():
+    chinese, japanese = "他在雾港码头得到一只空鸟笼，海面上亮起一排幽蓝的光。", "夜が明けると、港の鐘が三度鳴り、誰も口を開かなかった。"
+    for text, right in ((chinese, "gbk"), (japanese, "euc-jp"), (japanese, "utf-8")):
+        damaged = text.encode(right).decode("cp932", "replace")
+        back = inverse(damaged, "cp932", right)
+        assert back and sum(a in back for a in text) >= 0.6 * len(text)
+    assert inverse(chinese, "cp932", "gbk") is None

@@ -113,6 +113,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 #: codecs of more than one byte a character; all others map undefined bytes to the control of the same number
 WIDE = {"gbk": "gb18030", "big5": "cp950", "cp932": "cp932", "cp949": "cp949", "euc-jp": "euc-jp"}
 CONTROLS = [*map(chr, range(0x80, 0xA1)), "\xad"]
+#: what is one byte in cp932 besides ASCII: half-width katakana and the bytes that are no character
+ONE_BYTE = {*map(chr, range(0xFF61, 0xFFA0)), "\x80", "\xa0", "\uf8f1", "\uf8f2", "\uf8f3"}
 _missed = 0
 
 
@@ -146,8 +148,8 @@ def _encode(text: str, codec: str) -> bytes | None:
     if codec.startswith("utf-16"):
         return text.replace(LOST, "\uffff").encode(codec, "surrogatepass")
     # a quick look at how much the charset has, before its gaps are filled one by one
-    ascii_only = sum(c < "\x80" for c in text) if codec in WIDE else 0
-    most = 2 * (len(text) - ascii_only) + ascii_only if codec in WIDE else len(text)
+    single = sum(c < "\x80" or codec == "cp932" and c in ONE_BYTE for c in text) if codec in WIDE else 0
+    most = 2 * (len(text) - single) + single if codec in WIDE else len(text)
     filled = text.count(LOST) + sum(text.count(c) for c in CONTROLS) if codec not in WIDE else 2 * text.count(LOST)
     if len(text.encode(codec, "ignore")) + filled < (0.8 if codec in WIDE else 0.9) * most:
         return None
