@@ -1,6 +1,6 @@
 import random
 
-from tomeflow.llm.spam import FEATURES, features, spam_scores
+from tomeflow.llm.spam import FEATURES, features, spam_scores, weak_label
 
 
 def share(text):
@@ -50,3 +50,31 @@ def test_scores(spark):
     assert spam_scores(df.limit(0), "doc_id", "text", "source").count() == 0
     alike = spam_scores(df.where("source = 'good'"), "doc_id", "text", "source")
     assert alike.where("score > 0.5").count() == 0
+
+
+def test_phrase_between_changing_words(spark):
+    # three words of a phrase to two others, four characters to three: over half is keywords, few word pairs recur
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    char = lambda: chr(rng.randint(0x4E00, 0x9000))
+    english = " ".join(f"{word()} novel chapter latest {word()}" + "." * (i % 5 == 4) for i in range(60))
+    chinese = "".join(f"{char()}免费小说{char()}{char()}" + "。" * (i % 5 == 4) for i in range(60))
+    at = FEATURES.index
+    rows = [features(english), features(chinese)]
+    for f in rows:
+        assert f[at("distinct")] > 0.55 and f[at("stuffed")] > 0.9 and f[at("top_phrase")] > 0.5 and f[at("listed")] > 0.9
+    labels = spark.createDataFrame(rows, FEATURES).select(weak_label().alias("label")).collect()
+    assert all(r.label == 1.0 for r in labels)
+
+
+def test_commonest_is_the_first_of_equals():
+    import numpy as np
+    from collections import Counter
+
+    from tomeflow.llm.spam import _commonest
+
+    rng = random.Random(4)
+    for bits, gram in ((16, 4), (21, 3), (30, 3), (32, 3)):
+        ids = [rng.choice([0, 1, 2, (1 << bits) - 1]) for _ in range(300)]
+        gram_at, n = _commonest(np.array(ids, np.uint32), gram, bits)
+        assert (tuple(ids[gram_at : gram_at + gram]), n) == Counter(zip(*(ids[i:] for i in range(gram)))).most_common(1)[0]

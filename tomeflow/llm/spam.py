@@ -54,6 +54,11 @@ def _alnum() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
+def _cjk(codes: np.ndarray) -> np.ndarray:
+    """Which code points CJK matches."""
+    return (codes >= 0x3040) & (codes <= 0x30FF) | (codes >= 0x3400) & (codes <= 0x9FFF)
+
+
 def _items(line: str) -> list[str]:
     """The items of a line that is a list, else nothing."""
     parts = [p for p in SEPARATOR.split(line) if p]
@@ -65,26 +70,42 @@ def _items(line: str) -> list[str]:
     return []
 
 
+def _commonest(ids: np.ndarray, gram: int, bits: int) -> tuple[int, int]:
+    """(where it first is, how often) of the commonest ``gram`` of a row of numbers below 2 ** bits; the first of equals."""
+    key = ids[: len(ids) - gram + 1].astype(np.uint64)
+    for i in range(1, gram):
+        if bits * (i + 1) > 64:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        key = (key << np.uint64(bits)) | ids[i : len(ids) - gram + 1 + i].astype(np.uint64)
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return int(first[n == n.max()].min()), int(n.max())
+
+
 def _stuffed(text: str) -> tuple[float, float]:
     """(share of characters in clauses that hold the commonest phrase, share of the phrase itself).
 
     The phrase is three words, or four characters where words aren't separated. Only a phrase that
     fills many of the clauses, and not as a whole clause that returns like a refrain, counts.
     """
-    text = RUN.sub(r"\1", text)  # a long run of one character is no phrase
-    if CJK.search(text):
-        units, gram = CJK.findall(text), 4
-        joined = ""
-    else:
-        units, gram = WORD.findall(text), 3
-        joined = " "
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = codes[1:] == codes[:-1]
+    if (same[:-2] & same[1:-1] & same[2:]).any():
+        text = RUN.sub(r"\1", text)  # a long run of one character is no phrase
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    units, gram, bits, joined = codes[_cjk(codes)], 4, 16, ""
+    words: list[str] = []
+    if not len(units):
+        words, gram, bits, joined = WORD.findall(text), 3, 0, " "
+        number: dict[str, int] = {}
+        units = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
+        bits = len(number).bit_length()
     if len(units) < 12 * gram:
         return 0.0, 0.0
-    phrase, n = Counter(zip(*(units[i:] for i in range(gram)))).most_common(1)[0]
+    at, n = _commonest(units, gram, bits)
     top = n * gram / len(units)
     if n < 5 or top < 0.12:
         return 0.0, top
-    key = joined.join(phrase)
+    key = joined.join(words[at : at + gram] or map(chr, units[at : at + gram].tolist()))
     clauses = [c.strip() for c in CLAUSE.split(text) if c.strip()]
     hold = [c for c in clauses if key in " ".join(c.split())]
     # a refrain brings its phrase back in the same clause; keywords come in many, or many to a clause
@@ -165,13 +186,13 @@ def features(text: str | None) -> list[float]:
     packed = len(zlib.compress(raw[: 1 << 20], 1)) / len(raw[: 1 << 20])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if CJK.search(text):
-        wide = codes[((codes >= 0x3040) & (codes <= 0x30FF)) | ((codes >= 0x3400) & (codes <= 0x9FFF))].astype(np.uint64)
+        wide = codes[_cjk(codes)].astype(np.uint64)
         grams, kinds = max(0, len(wide) - 1), len(np.unique((wide[:-1] << np.uint64(21)) | wide[1:]))
     else:
         words = WORD.findall(text)
         grams, kinds = max(0, len(words) - 1), len(set(zip(words, words[1:])))
     distinct = kinds / grams if grams else 1.0
-    stuffed, top = _stuffed(text) if grams and distinct < 0.5 else (0.0, 0.0)
+    stuffed, top = _stuffed(text) if grams else (0.0, 0.0)
     sure = min(total, linked + tagged + priced + item_chars + short_run)
     listed = max(sure / total, stuffed if top >= STUFFED else 0.0)
     counts = Counter(lines)
