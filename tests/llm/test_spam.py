@@ -78,3 +78,9 @@ def test_commonest_is_the_first_of_equals():
         ids = [rng.choice([0, 1, 2, (1 << bits) - 1]) for _ in range(300)]
         gram_at, n = _commonest(np.array(ids, np.uint32), gram, bits)
         assert (tuple(ids[gram_at : gram_at + gram]), n) == Counter(zip(*(ids[i:] for i in range(gram)))).most_common(1)[0]
+
+
+def test_compressed_is_of_the_whole_text():
+    head, tail = "a" * (1 << 20), "".join(random.Random(5).choices("bcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    at = FEATURES.index("compressed")
+    assert features(head + tail)[at] > 0.25 and features(head)[at] < 0.02

@@ -183,7 +183,8 @@ def features(text: str | None) -> list[float]:
         short_run += end_run()
     short_run += end_run()
     raw = text.encode("utf-8", "replace")
-    packed = len(zlib.compress(raw[: 1 << 20], 1)) / len(raw[: 1 << 20])
+    packer = zlib.compressobj(1)
+    packed = (sum(len(packer.compress(raw[i : i + (1 << 20)])) for i in range(0, len(raw), 1 << 20)) + len(packer.flush())) / len(raw)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if CJK.search(text):
         wide = codes[_cjk(codes)].astype(np.uint64)
