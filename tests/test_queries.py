@@ -43,3 +43,17 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_fusion_of_a_chapter_sent_often(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    fusion = entry.queries()["hybrid_fusion"]
+    want = sorted(map(tuple, fusion(spark, str(FOLDER)).collect()))
+    novel, chapter = max(want, key=lambda r: r[2])[:2]
+    rows = spark.read.parquet(f"{FOLDER}/chapters.parquet")
+    one = rows.where((F.col("novel_id") == novel) & (F.col("chapter_id") == chapter) & (F.size("embedding") == 64)).orderBy(F.col("row_id").desc()).limit(1)
+    copies = one.crossJoin(spark.range(300)).withColumn("row_id", F.col("row_id") + 1_000_000 + F.col("id")).drop("id")
+    rows.unionByName(copies).write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.read.parquet(f"{FOLDER}/chunks.parquet").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert sorted(map(tuple, fusion(spark, str(tmp_path)).collect())) == want

@@ -235,3 +235,9 @@ def cosine_to(column: str, query_vector: list[float]) -> Column:
 def semantic(df: DataFrame, vector_col: str, query_vector: list[float], k: int, *ties: str) -> DataFrame:
     """Rows by the similarity of a stored vector; rows without one are left out."""
     return top(df.where(F.size(vector_col) > 0).withColumn("score", F.round(cosine_to(vector_col, query_vector), 6)), k, *ties).drop(vector_col)
+
+
+def nearest_of_each(df: DataFrame, vector_col: str, query_vector: list[float], key: list[str]) -> DataFrame:
+    """(key, score): the best similarity of any of a key's rows, all compared, so that copies take no other key's place."""
+    rows = df.where(F.size(vector_col) > 0).select(*key, F.round(cosine_to(vector_col, query_vector), 6).alias("score"))
+    return rows.groupBy(*key).agg(F.max("score").alias("score"))

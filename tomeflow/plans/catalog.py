@@ -290,8 +290,7 @@ def bm25_topk(lib: Library) -> DataFrame:
 @query
 def hybrid_fusion(lib: Library) -> DataFrame:
     key = ["novel_id", "chapter_id"]
-    near = search.semantic(lib.table("chapters").where("size(embedding) = 64").select(*key, "row_id", "embedding"), "embedding", _probe(lib), 200, *key, "row_id")
-    vectors = near.groupBy(*key).agg(F.max("score").alias("score"))
+    vectors = search.nearest_of_each(lib.table("chapters").where("size(embedding) = 64"), "embedding", _probe(lib), key)
     keywords = lib.chapters.select(*key, T.keyword_count("content", KEYWORD).alias("score")).where("score > 0")
     return search.fuse(vectors, keywords, key, 20)
 
