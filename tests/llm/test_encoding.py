@@ -66,3 +66,20 @@ def test_half_width_katakana():
         back = inverse(damaged, "cp932", right)
         assert back and sum(a in back for a in text) >= 0.6 * len(text)
     assert inverse(chinese, "cp932", "gbk") is None
+
+
+def test_few_wide_characters(spark):
+    rng = random.Random(5)
+    rows = [(i, story(rng, "zh" if i % 3 else "fr")) for i in range(120)]
+    french, chinese = story(rng, "fr"), story(rng, "zh")
+    accents = french.replace("«", "“").replace("»", "”").replace("à ", "").replace("déjà", "")
+    texts = {200 + i: (accents.encode("cp1252").decode(used, "replace"), accents) for i, used in enumerate(("gbk", "big5", "cp932"))}
+    texts[203] = (chinese + "\n" + "铜钱".encode().decode("gbk") + "\n" + chinese, chinese + "\n铜钱\n" + chinese)
+    names = {300: french + " Ångvold 烎槑嘦 et 虞照夜.", 301: chinese + "\n烎槑嘦\n" + chinese}
+    df = spark.createDataFrame(rows + [(i, t) for i, (t, _) in texts.items()] + list(names.items()), "raw_id long, content string")
+    got = {r.raw_id: r for r in garbled(df, "raw_id", "content").collect()}
+    assert set(got) == set(texts) and all(r.restored for r in got.values())
+    assert got[203].content == texts[203][1]
+    for i in (200, 201):
+        assert got[i].content.count("é") >= 0.8 * accents.count("é")
+    assert inverse("gel閑�", "gbk", "cp1252") == "gelée�"

@@ -20,6 +20,7 @@ Null and empty contents aren't affected. Copies are judged alike. Whole texts ar
 from __future__ import annotations
 
 import codecs
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -161,6 +162,9 @@ def _encode(text: str, codec: str) -> bytes | None:
 def inverse(run: str, used: str, right: str) -> str | None:
     """``run`` read again with the right charset, U+FFFD where bytes are lost. Text encoded more than once is undone as often."""
     for again in range(3):
+        if LOST in run and right not in MULTI:  # a lost byte is no character of the right charset
+            parts = [_encode(x, used) for x in run.split(LOST)]
+            return None if None in parts or not any(parts) else LOST.join(x.decode(right, "replace") for x in parts)
         raw = _encode(run, used)
         if not raw:
             return None if not again else run
@@ -296,18 +300,86 @@ def widened(text: str, a: int, b: int, at: int, mapping: tuple[str, str]) -> tup
     return best
 
 
+FEW = 6
+PIECE = re.compile(r"[^\x00-\x7f\ufffd](?:[^\n\ufffd]*[^\x00-\x7f\ufffd])?")
+
+
+def short_wide(text: str, a: int, b: int) -> bool:
+    return b - a < FEW and any(c >= "\u2e80" for c in text[a:b])
+
+
+def whole_pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of a run between line ends and lost bytes, without ASCII at their ends."""
+    return [(a + m.start(), a + m.end()) for m in PIECE.finditer(text[a:b])]
+
+
+def strict_readings(run: str) -> Iterator[tuple[str, tuple[str, str]]]:
+    """The readings of a few wide characters without a lost byte."""
+    for m in MAPPINGS:
+        if m[0] not in NARROW:
+            try:
+                new = run.encode(WIDE.get(m[0], m[0])).decode("gb18030" if m[1] == "gbk" else m[1])
+            except UnicodeError:
+                continue
+            if new != run and _plausible(new):
+                yield new, m
+
+
+def isolated(text: str, runs: list[tuple[int, int]], seen: Pairs) -> dict[tuple[int, int], tuple[str, tuple[str, str]]]:
+    """Readings of short runs of wide characters, by run.
+
+    One such run may be a name. Among Latin letters, all of a document's are judged together: one
+    mapping must turn at least half of them, and two, into known letters. Elsewhere, a run is taken
+    alone if no more than a little of it is known, and all pairs of what it gives are: at least two,
+    or one in UTF-8.
+    """
+    latin: dict[tuple[str, str], list] = {}
+    out, beside = {}, 0
+    for a, b in runs:
+        near = [c for c in (text[a - 1 : a], text[b : b + 1]) if c]
+        among = any(c.isalpha() and c < "\u2e80" for c in near)
+        beside += among
+        before = seen.known(text[a - 1 : a] + text[a:b] + text[b : b + 1])
+        best = 0.0
+        for new, m in strict_readings(text[a:b]):
+            if among and m[1] not in MULTI and max(new) < "\u2e80" and any(c.isalpha() for c in new):
+                share = seen.known(text[a - 1 : a] + new + text[b : b + 1])
+                if share >= max(KNOWN, before + GAIN):
+                    latin.setdefault(m, []).append((share, (a, b), new))
+            elif not among and m[1] in MULTI:
+                inside = seen.score(new)
+                sure = len(inside) >= (1 if m[1] == "utf-8" else 2) and (inside < 0).all() and not new.isascii()
+                if sure and before < 0.25 and len(inside) > best:
+                    best, out[(a, b)] = len(inside), (new, m)
+    if latin:
+        m = max(latin, key=lambda x: (len(latin[x]), sum(s for s, *_ in latin[x])))
+        if len(latin[m]) >= max(2, beside / 2):
+            out |= {at: (new, m) for _, at, new in latin[m]}
+    return out
+
+
 def examine(text: str | None, seen: Pairs) -> tuple[str | None, int, int]:
     """(text with its runs restored where possible, runs restored, whether damage stays)."""
     if not text or text.isascii():
         return text, 0, 0
     out, at, restored = [], 0, 0
     settled: list[tuple[str, str]] = []
-    todo = improbable_runs(text, seen)[::-1]
+    todo = [y for x in improbable_runs(text, seen) for y in (whole_pieces(text, *x) if short_wide(text, *x) else [x])][::-1]
+    few = isolated(text, [x for x in todo[::-1] if short_wide(text, *x)], seen)
     while todo:
         a, b = todo.pop()
         a = max(a, at)
-        if a >= b or b - a < 6 and any(ord(c) >= 0x2E80 for c in text[a:b]):
-            continue  # wide characters are lost by the sentence; a few are a name
+        if a >= b:
+            continue
+        if short_wide(text, a, b):
+            if (a, b) in few:
+                new, mapping = few[a, b]
+                if mapping not in settled:
+                    settled.append(mapping)
+                out += [text[at:a], new]
+                at = b
+                restored += 1
+            continue
         spans = [(a, b)]
         if b - a < 12 and max(text[a:b]) < "\u2e80":  # a pair reaches a character beyond a short run, or into it
             spans += [(x, y) for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) if (x, y) != (a, b) and at <= x < y <= len(text)]
