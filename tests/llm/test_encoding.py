@@ -83,3 +83,15 @@ def test_few_wide_characters(spark):
     for i in (200, 201):
         assert got[i].content.count("é") >= 0.8 * accents.count("é")
     assert inverse("gel閑�", "gbk", "cp1252") == "gelée�"
+
+
+@pytest.mark.parametrize(("used", "right", "lang"), [("cp1252", "utf-8", "fr"), ("latin-1", "utf-8", "zh"), ("mac-roman", "cp1252", "fr"), ("latin-1", "gbk", "zh")])
+def test_a_third_damaged_alike(spark, used, right, lang):
+    rng = random.Random(6)
+    clean = {i: story(rng, "fr" if i % 2 else "zh") for i in range(240)}
+    want = {i for i in clean if i % 3 == 0 and (lang == "fr") == bool(i % 2)}
+    rows = [(i, t.encode(right).decode(used) if i in want else t) for i, t in clean.items()]
+    got = {r.raw_id: r.content for r in garbled(spark.createDataFrame(rows, "raw_id long, content string"), "raw_id", "content").collect()}
+    assert set(got) == want
+    if right == "utf-8":
+        assert all(got[i] == clean[i] for i in want)

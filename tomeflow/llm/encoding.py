@@ -2,7 +2,8 @@
 
 Adjacent character pairs are scored by their mutual information over the corpus, counted by
 documents. A pair in less than ``min_share`` of the documents counts as unseen, for a wrong decoding
-is as regular as a language: its pairs would otherwise vouch for each other. Unseen pairs score
+is as regular as a language: its pairs would otherwise vouch for each other. So does, in however
+many documents, a pair that a mapping explains as known text decoded wrongly (``damage``). Unseen pairs score
 +1 and seen pairs below 0, the lower the stronger they are bound; the maximum-scoring segments of a
 text are its improbable runs. Only inside these the inverse mappings are tried: the run is
 encoded with the charset that may have been used and decoded with the one that should have been.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MIN_SHARE, MIN_DOCS = 0.03, 3
 MIN_SCORE, GAP = 2.0, 4
+PURE, USUAL, LEAST_FORMS = 0.8, 50, 10
 KNOWN, LONG_KNOWN, GAIN, VALID = 0.5, 0.35, 0.25, 0.7
 
 # Fixed values: (charset that was used, charset that should have been), by the names of Python's codecs.
@@ -422,17 +424,81 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([n, m, [len(texts)]]).astype(np.int64))], names=["kind", "key", "n"])
 
 
-def seen_pairs(texts: DataFrame, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS) -> Pairs:
-    """The pairs in at least ``min_share`` of the documents, scored by mutual information. texts: one string column."""
-    counts = texts.mapInArrow(_pair_counts, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+def _fragment(raw: bytes, chars: set[bytes], heads: set[bytes], tails: set[bytes], inner: set[bytes]) -> bool:
+    """Whether bytes are a piece of text made of ``chars``: an end of one, whole ones, a beginning of one."""
+    if raw in inner:
+        return True
+    reach = {0} | {i for i in range(1, min(4, len(raw)) + 1) if raw[:i] in tails}
+    for i in range(len(raw)):
+        if i in reach:
+            if raw[i:] in heads:
+                return True
+            reach |= {j for j in range(i + 1, min(i + 4, len(raw)) + 1) if raw[i:j] in chars}
+    return len(raw) in reach
+
+
+def _pieces(chars: list[str], right: str) -> tuple[set[bytes], set[bytes], set[bytes], set[bytes]]:
+    """(whole, beginnings, ends, what is inside) of characters in a charset."""
+    whole = {raw for c in chars if (raw := c.encode(right, "ignore"))}
+    heads, tails = {c[:i] for c in whole for i in range(1, len(c))}, {c[i:] for c in whole for i in range(1, len(c))}
+    return whole, heads, tails, {c[i:j] for c in whole for i in range(1, len(c)) for j in range(i + 1, len(c))}
+
+
+def damage(chars: np.ndarray, char_n: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which seen pairs are known text decoded wrongly, however common that is.
+
+    A pair is explained by a mapping if the mapping turns it into a piece of UTF-8 of seen characters
+    (or of two-byte text, if half of its ``USUAL`` characters are seen as such pairs) or, between
+    other charsets, into seen pairs in more documents. One explained pair may be chance:
+    ``PURE`` of the seen pairs of one of its characters must be explained by the same mapping.
+    """
+    a, b = (keys >> SHIFT).tolist(), (keys & np.uint64((1 << 21) - 1)).tolist()
+    odd = [i for i in range(len(a)) if (a[i] >= 128 or b[i] >= 128) and not (0xD800 <= a[i] < 0xE000 or 0xD800 <= b[i] < 0xE000) and LOST not in (chr(a[i]), chr(b[i]))]
+    text = {i: chr(a[i]) + chr(b[i]) for i in odd}
+    count = dict(zip(keys.tolist(), n.tolist()))
+    usual = [chr(c) for c in chars[np.argsort(-char_n, kind="stable")].tolist() if not 0xD800 <= c < 0xE000]
+    pieces = {right: _pieces(usual, right) for right in ("utf-8", *WIDE)}
+    common = [c for c in usual if c >= "\u2e80"][:USUAL]
+    of: dict[str, set[int]] = {}
+    for i, t in text.items():
+        for c in t:
+            if c >= "\x80":
+                of.setdefault(c, set()).add(i)
+    out = np.zeros(len(keys), bool)
+    for used, right in MAPPINGS:
+        coded = {c: _byte_or_none(c, used) for c in {x for t in text.values() for x in t}}
+        explained = set()
+        # two bytes of one each are too easily an end and a beginning, unless the usual characters occur in this form
+        forms = [raw.decode(used) for c in common if used in NARROW and right in WIDE and len(raw := c.encode(right, "ignore")) == 2 and len(raw.decode(used, "ignore")) == 2]
+        active = 2 * sum(int(pairs(f)[0]) in count for f in forms) >= max(2 * LEAST_FORMS, len(forms))
+        for i, t in text.items():
+            x, y = coded[t[0]], coded[t[1]]
+            if x is None or y is None:
+                continue
+            if right == "utf-8" or active:
+                if _fragment(x + y, *pieces[right]):
+                    explained.add(i)
+                continue
+            try:
+                clean = (x + y).decode("gb18030" if right == "gbk" else right)
+            except UnicodeError:
+                continue
+            if clean != t and len(clean) > 1 and not clean.isascii() and min(count.get(k, 0) for k in pairs(clean).tolist()) > n[i]:
+                explained.add(i)
+        pure = {c for c, at in of.items() if len(at & explained) >= PURE * len(at)}
+        out[[i for i in explained if text[i][0] in pure or text[i][1] in pure]] = True
+    return out
+
+
+def _byte_or_none(ch: str, used: str) -> bytes | None:
     try:
-        total = next((r["n"] for r in counts.where("kind = 2").collect()), 0)
-        least = max(min_docs, min_share * total)
-        rows = counts.where((F.col("kind") < 2) & (F.col("n") >= least)).toArrow()
-    finally:
-        counts.unpersist()
-    kind, key, n = (rows.column(i).to_numpy() for i in range(3))
+        return ch.encode(WIDE.get(used, used))
+    except UnicodeError:
+        return bytes([ord(ch)]) if used in NARROW and "\x80" <= ch <= "\xa0" else None
+
+
+def scored_pairs(kind: np.ndarray, key: np.ndarray, n: np.ndarray, total: int) -> Pairs:
+    """The table of seen pairs out of the documents' counts by character (kind 1) and pair (kind 0), without damage."""
     chars, char_n = key[kind == 1], n[kind == 1]
     order = np.argsort(chars)
     chars, char_n = chars[order], char_n[order]
@@ -442,7 +508,21 @@ def seen_pairs(texts: DataFrame, min_share: float = MIN_SHARE, min_docs: int = M
     a, b = (keys >> SHIFT).astype(np.int64), (keys & np.uint64((1 << 21) - 1)).astype(np.int64)
     of = lambda x: char_n[np.searchsorted(chars, x)]  # noqa: E731  a seen pair's characters are in as many documents
     information = np.log(pair_n * float(total) / (of(a) * of(b).astype(float)))
-    return Pairs(keys, -np.clip(1.0 + information, 0.5, 3.0))
+    kept = ~damage(chars, char_n, keys, pair_n)
+    return Pairs(keys[kept], -np.clip(1.0 + information, 0.5, 3.0)[kept])
+
+
+def seen_pairs(texts: DataFrame, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS) -> Pairs:
+    """The pairs in at least ``min_share`` of the documents, scored by mutual information. texts: one string column."""
+    counts = texts.mapInArrow(_pair_counts, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = counts.persist()
+    try:
+        total = next((r["n"] for r in counts.where("kind = 2").collect()), 0)
+        least = max(min_docs, min_share * total)
+        rows = counts.where((F.col("kind") < 2) & (F.col("n") >= least)).toArrow()
+    finally:
+        counts.unpersist()
+    return scored_pairs(*(rows.column(i).to_numpy() for i in range(3)), total)
 
 
 def garbled(df: DataFrame, id_col: str, text_col: str, min_share: float = MIN_SHARE) -> DataFrame:
