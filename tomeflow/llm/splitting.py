@@ -6,7 +6,9 @@ boundaries nearest to its own start and to the next range's. Anchors are found i
 neighbours agree on them without talking to each other, and the pieces between two anchors are cut
 in one task however long the item is. What ties the ranges together is a small table: the ranges'
 piece counts (and, for byte ranges of files, their numbers of characters), of which prefix sums
-give every piece its number and its offset. No task holds a whole item.
+give every piece its number and its offset. ``split_items``, which the queries use, takes ranges of
+code points of column values, each of which its row's task has loaded whole; only ``split_files``,
+which reads byte ranges, holds no whole item in a task.
 
 Within a range, a piece ends at the last paragraph end in reach, if that fills at least half of the
 limit, else at the last sentence end that does, else at the last boundary of any kind in reach;
