@@ -1,8 +1,8 @@
 import random
 
-from tomeflow.llm.truncation import inner_text, truncated_values, valley
+from tomeflow.llm.truncation import FILTER_BITS, ORDERS, class_of, context_counts, contexts_of, inner_text, truncated_values, valley
 
-SCHEMA = "state_id long, title string, chapter_summary string, segment_results map<int,string>, model_name string, segment_no int, value string"
+SCHEMA = "state_id long, novel_id string, title string, chapter_summary string, segment_results map<int,string>, model_name string, segment_no int, value string"
 
 
 def sentence(rng):
@@ -16,7 +16,35 @@ def test_form():
 
 
 def test_valley():
-    assert -4.5 < valley({-8.0: 10, -7.0: 5, -1.0: 50, 0.0: 90}) < -2.5
+    assert -4.5 < valley({-8.0: 10, -7.0: 5, -1.0: 50, 0.0: 90}, -5.0, -2.5) < -2.5
+
+
+def test_classes():
+    assert class_of("the end of it") == "en/prose" and class_of("1. le roi et la reine") == "fr/list." and class_of("他离开了。") == "zh/prose" and class_of("それは夜。") == "ja/prose"
+    assert class_of("Zorvex Umbral") == "latin/prose" and class_of("Zorvex Umbral", None, "The Tide of Glass") == "en/prose"
+
+
+def test_context_counts():
+    """Against counting by hand, with and without the filter."""
+    import numpy as np
+
+    texts = ["abcabcd", "bcd", "a", "漢字漢字"]
+    on, end = {}, {}
+    for t in texts:
+        for k in ORDERS:
+            for i in range(len(t) - k + 1):
+                h = contexts_of(t[i : i + k])[ORDERS.index(k)]
+                side = end if i + k == len(t) else on
+                side[h] = side.get(h, 0) + 1
+    key, n_on, n_end = context_counts(texts)
+    assert {k: n for k, n in zip(key.tolist(), n_on.tolist()) if n} == on and {k: n for k, n in zip(key.tolist(), n_end.tolist()) if n} == end
+    wanted = [h for h in contexts_of("漢字漢字") if h is not None]
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    for h in wanted:
+        slot = h & (FILTER_BITS - 1)
+        bits[slot >> 6] |= np.uint64(1 << (slot & 63))
+    key, n_on, n_end = context_counts(texts, bits)
+    assert set(wanted) == set(key.tolist()) and dict(zip(key.tolist(), n_on.tolist())) == {h: on.get(h, 0) for h in wanted}
 
 
 def test_cut_values(spark):
@@ -34,8 +62,8 @@ def test_cut_values(spark):
         if i % 20 == 1:
             results[3] = '{"summary": "' + sentence(rng)
             cut.add((i, "segment_results", 3))
-        rows.append((i, "t", whole, results, f"m{i % 2}", 7, "x"))
-    rows += [(1000, "t", None, None, None, 1, None), (1001, "t", "", {}, "m0", 1, ""), (1002, "t", "{{summary}}", None, "m0", 1, "")]
+        rows.append((i, "n", "t", whole, results, f"m{i % 2}", 7, "x"))
+    rows += [(1000, None, "t", None, None, None, 1, None), (1001, "n", "t", "", {}, "m0", 1, ""), (1002, "n", "t", "{{summary}}", None, "m0", 1, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.state_id, r.field_name, r.segment_no) for r in truncated_values(df).where("truncated").collect()}
     missed, extra = cut - got, got - cut
