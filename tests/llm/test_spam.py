@@ -1,10 +1,13 @@
 import random
 
-from tomeflow.llm.spam import FEATURES, features, spam_scores, weak_label
+from tomeflow.llm.spam import FEATURES, LABELS, STUFFED, features, spam_scores, weak_label
+
+COLUMNS = LABELS + FEATURES
 
 
 def share(text):
-    return features(text)[FEATURES.index("listed")]
+    row = dict(zip(COLUMNS, features(text)))
+    return max(row["listed"], row["stuffed"] if row["top_phrase"] >= STUFFED else 0.0)
 
 
 def story(rng, n):
@@ -35,7 +38,7 @@ def test_shares():
     assert share(verse) < 0.4
     assert share("I have waited twelve years for this! " * 3 + story(rng, 10)) < 0.4
     assert share("啊" * 500) < 0.4 and share("4" * 800) < 0.4 and share("-*" * 400) < 0.4
-    assert features(None) == features(" \n") == [0.0] * len(FEATURES)
+    assert features(None) == features(" \n") == [0.0] * len(COLUMNS)
 
 
 def test_scores(spark):
@@ -59,11 +62,11 @@ def test_phrase_between_changing_words(spark):
     char = lambda: chr(rng.randint(0x4E00, 0x9000))
     english = " ".join(f"{word()} novel chapter latest {word()}" + "." * (i % 5 == 4) for i in range(60))
     chinese = "".join(f"{char()}免费小说{char()}{char()}" + "。" * (i % 5 == 4) for i in range(60))
-    at = FEATURES.index
+    at = COLUMNS.index
     rows = [features(english), features(chinese)]
     for f in rows:
-        assert f[at("distinct")] > 0.55 and f[at("stuffed")] > 0.9 and f[at("top_phrase")] > 0.5 and f[at("listed")] > 0.9
-    labels = spark.createDataFrame(rows, FEATURES).select(weak_label().alias("label")).collect()
+        assert f[at("distinct")] > 0.55 and f[at("stuffed")] > 0.9 and f[at("top_phrase")] > 0.5
+    labels = spark.createDataFrame(rows, COLUMNS).select(weak_label().alias("label")).collect()
     assert all(r.label == 1.0 for r in labels)
 
 
@@ -82,5 +85,31 @@ def test_commonest_is_the_first_of_equals():
 
 def test_compressed_is_of_the_whole_text():
     head, tail = "a" * (1 << 20), "".join(random.Random(5).choices("bcdefghijklmnopqrstuvwxyz", k=1 << 20))
-    at = FEATURES.index("compressed")
+    at = COLUMNS.index("compressed")
     assert features(head + tail)[at] > 0.25 and features(head)[at] < 0.02
+
+
+def test_trees_decide_without_the_labels_columns(spark):
+    """Running keywords that no list shows have no weak label, and are found by what they share with labelled spam."""
+    assert not set(LABELS) & set(FEATURES)
+    rng = random.Random(6)
+    words = ["latest chapter", "read free", "web novel", "no ads", "light novel", "full book", "Pale Oath", "top romance"]
+    mixed = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(20)]
+    rows = [(i, story(rng, rng.randint(3, 30)), f"s{i % 7}") for i in range(300)] + [(1000 + i, spam(rng, 15), f"s{i % 7}") for i in range(120)] + [(2000 + i, x, f"s{i % 7}") for i, x in enumerate(mixed)]
+    rows += [(3000 + i, c * 400 + story(rng, 2), "s1") for i, c in enumerate(["a", "ab", "éäñ", "-", "7"])]
+    labels = spark.createDataFrame([features(x) for x in mixed], COLUMNS).select(weak_label().alias("label")).collect()
+    assert all(r.label is None for r in labels)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id for r in spam_scores(df, "doc_id", "text", "source").where("score > 0.5").collect()}
+    assert not found & (set(range(300)) | set(range(3000, 3005)))
+    assert len(found & set(range(2000, 2020))) >= 18 and len(found & set(range(1000, 1120))) >= 118
+
+
+def test_host_rate_moves_what_is_between(spark):
+    """The same uncertain page is likelier spam where all else is spam."""
+    rng = random.Random(7)
+    rows = [(i, story(rng, 10), "good") for i in range(80)] + [(100 + i, spam(rng, 12), "bad") for i in range(80)]
+    doubtful = "\n".join(spam(rng, 4).split("\n")[:6]) + "\n" + story(rng, 4)
+    rows += [(500, doubtful, "good"), (501, doubtful, "bad")]
+    got = {r.doc_id: r for r in spam_scores(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").where("doc_id >= 500").collect()}
+    assert got[500].page_score == got[501].page_score and got[500].score < got[501].score

@@ -1,15 +1,19 @@
 """Problem 9: keyword-stuffed pages and link lists.
 
 Each document gets content and link features: shares of its characters in links, hashtags, price
-labels, lists of short items, repeated key phrases, and sentences. Two cautious rules on these give
-weak labels and leave the documents between them unlabelled. Bagged decision trees (every feature at
-every split) learn from a bounded sample of the weakly labelled rows and give each document a spam
-probability, which is smoothed with the rate of its source: the log-odds are shifted by a part of
+labels and lists of short items, sentence ends, repeats of words, pairs, lines and clauses, and others.
+Weak labels come from columns of their own (``LABELS``), which the trees don't see: spam is what is
+nearly all listed, or nearly all clauses around one phrase; plain is what lists next to nothing and is
+made of sentences, or of long runs of digits, symbols or one character. All between stays unlabelled.
+Bagged decision trees learn from a bounded sample of the weakly labelled rows and give each document a
+spam probability, which is smoothed with the rate of its source: the log-odds are shifted by a part of
 the source's own, shrunk towards the corpus rate by ``prior`` documents.
 
-Bounds: at most about ``sample_rows`` labelled rows are used to fit the trees. Features, rates and
-scores cover all rows and whole texts. Null, empty and blank texts aren't spam. A corpus whose weak
-labels are all alike is decided by the share of listed characters alone.
+Bounds: about ``sample_rows`` labelled rows are used to fit the trees, a third each of spam, of plain
+rows that look unusual, and of all other plain rows, weighted by the inverse of their sampling rates.
+Features, rates and scores cover all rows and whole texts. Null, empty and blank texts aren't spam and
+have a page score of 0. A corpus whose weak labels are all alike is decided by the share of listed
+characters, or of clauses around one phrase, alone. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tomeflow.session import checkpointed
 
-SAMPLE_ROWS, TREES, DEPTH, SEED = 20_000, 15, 6, 11
+SAMPLE_ROWS, TREES, DEPTH, SEED = 21_000, 20, 8, 11
 HOST_WEIGHT, HOST_PRIOR = 0.25, 20.0
 THRESHOLD = 0.5
 #: The share of a text that its commonest phrase fills where it is stuffed with it.
@@ -42,10 +46,12 @@ SENTENCE_MARK = re.compile(r"[.!?。！？…](?:[\s”\"»’'」』]|$)")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d")
-RUN = re.compile(r"(.)\1{3,}")
+RUN = re.compile(r"(.{1,8}?)\1{3,}", re.S)
 CLAUSE = re.compile(r"[.,!?;。，！？；、\n]+")
 
-FEATURES = ["listed", "links", "tags", "prices", "items", "stuffed", "closed_lines", "marks", "distinct", "compressed", "short_lines", "top_phrase", "log_chars", "digits", "repeat_lines", "symbols"]
+#: what the weak labels are made of, and the trees don't see
+LABELS = ["listed", "stuffed", "top_phrase", "sentences", "noise"]
+FEATURES = ["links", "tags", "prices", "items", "closed_lines", "marks", "distinct", "top_pair", "entropy", "compressed", "short_lines", "log_chars", "digits", "repeat_lines", "repeat_clauses", "symbols", "runs"]
 
 
 @lru_cache(maxsize=1)
@@ -88,10 +94,6 @@ def _stuffed(text: str) -> tuple[float, float]:
     fills many of the clauses, and not as a whole clause that returns like a refrain, counts.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    same = codes[1:] == codes[:-1]
-    if (same[:-2] & same[1:-1] & same[2:]).any():
-        text = RUN.sub(r"\1", text)  # a long run of one character is no phrase
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     units, gram, bits, joined = codes[_cjk(codes)], 4, 16, ""
     words: list[str] = []
     if not len(units):
@@ -117,7 +119,7 @@ def _stuffed(text: str) -> tuple[float, float]:
 
 def features(text: str | None) -> list[float]:
     if text is None or not text.strip():
-        return [0.0] * len(FEATURES)
+        return [0.0] * len(LABELS + FEATURES)
     total = sum(1 for c in text if not c.isspace()) if len(text) < 200 else len(text) - text.count(" ") - text.count("\n") - text.count("　")
     total = max(1, total)
     size = lambda s: len(s) - s.count(" ")
@@ -186,22 +188,32 @@ def features(text: str | None) -> list[float]:
     packer = zlib.compressobj(1)
     packed = (sum(len(packer.compress(raw[i : i + (1 << 20)])) for i in range(0, len(raw), 1 << 20)) + len(packer.flush())) / len(raw)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if CJK.search(text):
-        wide = codes[_cjk(codes)].astype(np.uint64)
-        grams, kinds = max(0, len(wide) - 1), len(np.unique((wide[:-1] << np.uint64(21)) | wide[1:]))
+    runs = max((float((codes[lag:] == codes[:-lag]).mean()) for lag in range(1, 9) if len(codes) > 8), default=0.0)  # of up to eight characters again and again
+    digits, symbols = int(((codes >= 48) & (codes <= 57)).sum()) / total, 1 - int(_alnum()[codes].sum()) / total
+    # such a run is no phrase, so it counts once in what is about repeats
+    words = RUN.sub(r"\1", text) if runs > 0.05 else text
+    if CJK.search(words):
+        wide = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
+        units = wide[_cjk(wide)].astype(np.uint64)
     else:
-        words = WORD.findall(text)
-        grams, kinds = max(0, len(words) - 1), len(set(zip(words, words[1:])))
-    distinct = kinds / grams if grams else 1.0
-    stuffed, top = _stuffed(text) if grams else (0.0, 0.0)
+        number: dict[str, int] = {}
+        units = np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(words)), np.uint64)
+    grams, distinct, top_pair, entropy = max(0, len(units) - 1), 1.0, 0.0, 1.0
+    if grams:
+        n = np.unique((units[:-1] << np.uint64(21)) | units[1:], return_counts=True)[1]
+        distinct, top_pair = len(n) / grams, int(n.max()) / grams
+        n = np.unique(units, return_counts=True)[1]
+        entropy = 1 - float((n * np.log(n)).sum() / len(units)) / math.log(len(units))
+    stuffed, top = _stuffed(words) if grams else (0.0, 0.0)
     sure = min(total, linked + tagged + priced + item_chars + short_run)
-    listed = max(sure / total, stuffed if top >= STUFFED else 0.0)
+    clauses = Counter(c for c in map(str.strip, CLAUSE.split(text)) if c)
     counts = Counter(lines)
     return [
-        listed, linked / total, tagged / total, priced / total, (item_chars + short_run) / total, stuffed,
-        closed / total, 100 * len(SENTENCE_MARK.findall(text)) / total, distinct, packed, short / max(1, len(lines)), top,
-        math.log10(len(text)), int(((codes >= 48) & (codes <= 57)).sum()) / total, sum(c for c in counts.values() if c > 1) / max(1, len(lines)),
-        1 - int(_alnum()[codes].sum()) / total,
+        sure / total, stuffed, top, sum(size(line) for line in lines if SENTENCE_MARK.search(line)) / total, max(runs, digits, symbols),
+        linked / total, tagged / total, priced / total, (item_chars + short_run) / total, closed / total, 100 * len(SENTENCE_MARK.findall(text)) / total,
+        distinct, top_pair, entropy, packed, short / max(1, len(lines)), math.log10(len(text)), digits,
+        sum(c for c in counts.values() if c > 1) / max(1, len(lines)), sum(len(x) * c for x, c in clauses.items() if c > 2) / max(1, sum(len(x) * c for x, c in clauses.items())),
+        symbols, runs,
     ]
 
 
@@ -210,17 +222,23 @@ def _featured(batches: Iterator) -> Iterator:
 
     for pdf in batches:
         rows = [features(t) for t in pdf["text"]]
-        out = pd.DataFrame(rows, columns=FEATURES, index=pdf.index, dtype="float64")
+        out = pd.DataFrame(rows, columns=LABELS + FEATURES, index=pdf.index, dtype="float64")
         yield pd.concat([pdf[["doc_id", "source"]], out], axis=1)
 
 
 def weak_label() -> F.Column:
     """1, 0 or null (between the rules)."""
-    spam = (F.col("listed") >= 0.6) & (F.col("closed_lines") < 0.4) | (F.col("stuffed") >= 0.6) & (F.col("top_phrase") >= STUFFED)
-    plain = (F.col("listed") <= 0.4) & (F.col("top_phrase") < STUFFED)
+    spam = (F.col("listed") >= 0.8) | (F.col("stuffed") >= 0.8) & (F.col("top_phrase") >= STUFFED)
+    plain = (F.col("listed") <= 0.1) & ((F.col("top_phrase") < STUFFED) & (F.col("sentences") >= 0.5) | (F.col("noise") >= 0.3))
     return F.when(spam, 1.0).when(plain, 0.0)
 
 
+def stratum() -> F.Column:
+    """2 for spam, 1 for plain rows that lists, repeats or symbols make unusual, 0 for other plain rows; null without a label."""
+    unusual = (F.col("distinct") < 0.6) | (F.col("symbols") > 0.3) | (F.col("listed") > 0.01) | (F.col("runs") > 0.1)
+    return F.when(F.col("label") == 1, 2).when(F.col("label") == 0, unusual.cast("int"))
+
+
 def spam_scores(df: DataFrame, id_col: str, text_col: str, source_col: str, sample_rows: int = SAMPLE_ROWS, host_weight: float = HOST_WEIGHT, prior: float = HOST_PRIOR) -> DataFrame:
     """(id, source, page_score, source_rate, score, listed): one row for each row of ``df``."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -229,20 +247,21 @@ def spam_scores(df: DataFrame, id_col: str, text_col: str, source_col: str, samp
 
     kinds = dict(df.dtypes)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    schema = f"doc_id {kinds[id_col]}, source {kinds[source_col]}, " + ", ".join(f"{f} double" for f in FEATURES)
-    table = checkpointed(rows.mapInPandas(_featured, schema).withColumn("label", weak_label()))
-    counts = {r["label"]: r["n"] for r in table.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    known = counts.get(0.0, 0) + counts.get(1.0, 0)
-    if counts.get(0.0) and counts.get(1.0):
+    schema = f"doc_id {kinds[id_col]}, source {kinds[source_col]}, " + ", ".join(f"{f} double" for f in LABELS + FEATURES)
+    featured = rows.mapInPandas(_featured, schema).withColumn("label", F.when(F.col("log_chars") > 0, weak_label()))
+    table = checkpointed(featured.withColumn("stratum", stratum()))
+    counts = {r["stratum"]: r["n"] for r in table.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    rates = {k: min(1.0, sample_rows / 3 / n) for k, n in counts.items() if k is not None}
+    if 2 in rates and len(rates) > 1:
         vector = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-        sample = table.where(F.col("label").isNotNull())
-        if known > sample_rows:
-            sample = sample.sample(False, sample_rows / known, SEED)
-        trees = RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=0.7, minInstancesPerNode=3, seed=SEED)
+        weight = F.create_map(*(F.lit(x) for k, rate in rates.items() for x in (k, 1.0 / rate)))[F.col("stratum")]
+        sample = table.where(F.col("stratum").isNotNull()).sampleBy("stratum", rates, SEED).withColumn("weight", weight)
+        trees = RandomForestClassifier(labelCol="label", featuresCol="vector", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", subsamplingRate=0.7, minInstancesPerNode=3, seed=SEED)
         model = trees.fit(vector.transform(sample))
         scored = model.transform(vector.transform(table)).withColumn("page_score", vector_to_array("probability")[1])
     else:
-        scored = table.withColumn("page_score", F.when(F.col("listed") > 0.5, 1.0).otherwise(0.0))
+        scored = table.withColumn("page_score", F.when((F.col("listed") > 0.5) | (F.col("stuffed") > 0.5) & (F.col("top_phrase") >= STUFFED), 1.0).otherwise(0.0))
+    scored = scored.withColumn("page_score", F.when(F.col("log_chars") > 0, F.col("page_score")).otherwise(0.0))
     scored = scored.select("doc_id", "source", "page_score", "listed")
     # the rates are one row for each source, summed map-side; their join leaves the choice to the planner
     rates = scored.groupBy("source").agg(F.sum("page_score").alias("s"), F.count("*").alias("n"))
