@@ -42,6 +42,7 @@ LINKISH = re.compile(r"https?://|www\.|<a\s|\[url=", re.I)
 PRICE = re.compile(r"[$€£¥￥]\s?\d|\d+\.\d\d\b|(?<![\w])\d{1,4}\s+(?:new|sale|in stock|包邮|现货|限量|sold)", re.I)
 SEPARATOR = re.compile(r"\s*(?:[|｜>›»/／·•、,，;；_\t]|\s[-–—]\s|\s{2,})\s*")
 CLOSED = tuple(".!?。！？…”\"»’'」』）):：")
+MARK_CHARS = ".!?。！？…"
 SENTENCE_MARK = re.compile(r"[.!?。！？…](?:[\s”\"»’'」』]|$)")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,45 +77,59 @@ def _items(line: str) -> list[str]:
     return []
 
 
-def _commonest(ids: np.ndarray, gram: int, bits: int) -> tuple[int, int]:
-    """(where it first is, how often) of the commonest ``gram`` of a row of numbers below 2 ** bits; the first of equals."""
+def _commonest(ids: np.ndarray, gram: int, bits: int, least: int = 1) -> tuple[int, int]:
+    """(where it first is, how often) of the commonest ``gram`` of a row of numbers below 2 ** bits; the first of equals. Where none occurs ``least`` times, the place is 0."""
     key = ids[: len(ids) - gram + 1].astype(np.uint64)
     for i in range(1, gram):
         if bits * (i + 1) > 64:
             key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         key = (key << np.uint64(bits)) | ids[i : len(ids) - gram + 1 + i].astype(np.uint64)
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return int(first[n == n.max()].min()), int(n.max())
+    ordered = np.sort(key)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+    n = np.diff(starts)
+    most = int(n.max())
+    if most < least:
+        return 0, most
+    return min(int((key == best).argmax()) for best in ordered[starts[:-1][n == most]]), most
 
 
-def _stuffed(text: str) -> tuple[float, float]:
+def _counts(values: np.ndarray) -> np.ndarray:
+    """How often each value occurs."""
+    ordered = np.sort(values)
+    return np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
+
+
+def _units(text: str) -> tuple[np.ndarray, list[str]]:
+    """(a text's units as numbers, its words): characters where words aren't separated, else words, numbered."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = codes[_cjk(codes)]
+    if len(wide):
+        return wide, []
+    words = WORD.findall(text)
+    number = dict(zip(dict.fromkeys(words), range(len(words))))
+    return np.fromiter(map(number.__getitem__, words), np.uint32, len(words)), words
+
+
+def _stuffed(units: np.ndarray, words: list[str], clauses: list[str]) -> tuple[float, float]:
     """(share of characters in clauses that hold the commonest phrase, share of the phrase itself).
 
     The phrase is three words, or four characters where words aren't separated. Only a phrase that
     fills many of the clauses, and not as a whole clause that returns like a refrain, counts.
     """
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    units, gram, bits, joined = codes[_cjk(codes)], 4, 16, ""
-    words: list[str] = []
-    if not len(units):
-        words, gram, bits, joined = WORD.findall(text), 3, 0, " "
-        number: dict[str, int] = {}
-        units = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
-        bits = len(number).bit_length()
+    gram, bits, joined = (3, max(1, int(units.max()).bit_length()), " ") if words else (4, 16, "")
     if len(units) < 12 * gram:
         return 0.0, 0.0
-    at, n = _commonest(units, gram, bits)
+    least = max(5, math.ceil(0.12 * len(units) / gram))
+    at, n = _commonest(units, gram, bits, least)
     top = n * gram / len(units)
-    if n < 5 or top < 0.12:
+    if n < least:
         return 0.0, top
     key = joined.join(words[at : at + gram] or map(chr, units[at : at + gram].tolist()))
-    clauses = [c.strip() for c in CLAUSE.split(text) if c.strip()]
     hold = [c for c in clauses if key in " ".join(c.split())]
     # a refrain brings its phrase back in the same clause; keywords come in many, or many to a clause
     if len(set(hold)) < 3 and n < 2.5 * len(hold):
         return 0.0, 0.0
-    size = sum(map(len, clauses)) or 1
-    return sum(map(len, hold)) / size, top
+    return sum(map(len, hold)) / max(1, sum(map(len, clauses))), top
 
 
 def features(text: str | None) -> list[float]:
@@ -188,33 +203,32 @@ def features(text: str | None) -> list[float]:
     packer = zlib.compressobj(1)
     packed = (sum(len(packer.compress(raw[i : i + (1 << 20)])) for i in range(0, len(raw), 1 << 20)) + len(packer.flush())) / len(raw)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    runs = max((float((codes[lag:] == codes[:-lag]).mean()) for lag in range(1, 9) if len(codes) > 8), default=0.0)  # of up to eight characters again and again
-    digits, symbols = int(((codes >= 48) & (codes <= 57)).sum()) / total, 1 - int(_alnum()[codes].sum()) / total
+    # of up to eight characters again and again; letters of a text repeat at any distance about once in twelve
+    runs = max((np.count_nonzero(codes[lag:] == codes[:-lag]) / (len(codes) - lag) for lag in range(1, 9)), default=0.0) if len(codes) > 8 else 0.0
+    digits, symbols = np.count_nonzero((codes >= 48) & (codes <= 57)) / total, 1 - np.count_nonzero(_alnum()[codes]) / total
     # such a run is no phrase, so it counts once in what is about repeats
-    words = RUN.sub(r"\1", text) if runs > 0.05 else text
-    if CJK.search(words):
-        wide = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
-        units = wide[_cjk(wide)].astype(np.uint64)
-    else:
-        number: dict[str, int] = {}
-        units = np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(words)), np.uint64)
+    calm = RUN.sub(r"\1", text) if runs > 0.15 else text
+    units, words = _units(calm)
+    clauses = [c for c in map(str.strip, CLAUSE.split(calm)) if c]
     grams, distinct, top_pair, entropy = max(0, len(units) - 1), 1.0, 0.0, 1.0
     if grams:
-        n = np.unique((units[:-1] << np.uint64(21)) | units[1:], return_counts=True)[1]
+        wide = units.astype(np.uint64)
+        n = _counts((wide[:-1] << np.uint64(21)) | wide[1:])
         distinct, top_pair = len(n) / grams, int(n.max()) / grams
-        n = np.unique(units, return_counts=True)[1]
+        n = _counts(units)
         entropy = 1 - float((n * np.log(n)).sum() / len(units)) / math.log(len(units))
-    stuffed, top = _stuffed(words) if grams else (0.0, 0.0)
+    stuffed, top = _stuffed(units, words, clauses) if grams else (0.0, 0.0)
     sure = min(total, linked + tagged + priced + item_chars + short_run)
-    clauses = Counter(c for c in map(str.strip, CLAUSE.split(text)) if c)
+    again = sum(len(x) * c for x, c in Counter(clauses).items() if c > 2) / max(1, sum(map(len, clauses)))
     counts = Counter(lines)
-    return [
-        sure / total, stuffed, top, sum(size(line) for line in lines if SENTENCE_MARK.search(line)) / total, max(runs, digits, symbols),
+    row = [
+        sure / total, stuffed, top, sum(size(line) for line in lines if line[-1] in MARK_CHARS or SENTENCE_MARK.search(line)) / total, max(runs, digits, symbols),
         linked / total, tagged / total, priced / total, (item_chars + short_run) / total, closed / total, 100 * len(SENTENCE_MARK.findall(text)) / total,
         distinct, top_pair, entropy, packed, short / max(1, len(lines)), math.log10(len(text)), digits,
-        sum(c for c in counts.values() if c > 1) / max(1, len(lines)), sum(len(x) * c for x, c in clauses.items() if c > 2) / max(1, sum(len(x) * c for x, c in clauses.items())),
+        sum(c for c in counts.values() if c > 1) / max(1, len(lines)), again,
         symbols, runs,
     ]
+    return [float(x) for x in row]
 
 
 def _featured(batches: Iterator) -> Iterator:
