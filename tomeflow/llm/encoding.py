@@ -24,6 +24,7 @@ import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,34 +57,51 @@ def pairs(text: str) -> np.ndarray:
     return (c[:-1] << SHIFT) | c[1:]
 
 
+ZEROS, DIGIT = str.maketrans("123456789", "0" * 9), re.compile("[1-9]")
+#: up to so many characters a look at each pair is cheaper than arrays
+FEW_CHARS = 64
+
+
 class Pairs:
     """The corpus's seen pairs: sorted keys and scores below 0."""
 
     def __init__(self, keys: np.ndarray, scores: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.scores = keys[order], scores[order]
+        self.texts = {chr(k >> 21) + chr(k & 0x1FFFFF) for k in self.keys.tolist()}
         self.cache: dict = {}
 
     def score(self, text: str) -> np.ndarray:
         """+1 for each unseen pair, less than 0 for each seen one; pairs with white space or ASCII only are never improbable."""
-        p = pairs(text)
+        c = codes(text)
+        p = (c[:-1] << SHIFT) | c[1:]
         if not len(self.keys):
             at, seen = np.zeros(len(p), int), np.zeros(len(p), bool)
         else:
             at = np.minimum(np.searchsorted(self.keys, p), len(self.keys) - 1)
             seen = self.keys[at] == p
         out = np.where(seen, self.scores[at] if len(self.keys) else 0.0, 1.0)
-        c = codes(text)
         return np.where((c[:-1] < 128) & (c[1:] < 128), -0.5, out)
 
     def known(self, text: str) -> float:
         """The share of known pairs among those that aren't ASCII only."""
         if len(text) < 2:
             return 0.0
-        s = self.score(text)
-        c = codes(text)
-        wide = (c[:-1] >= 128) | (c[1:] >= 128)
-        return float((s[wide] < 0).mean()) if wide.any() else 1.0
+        if len(text) > FEW_CHARS:
+            s = self.score(text)
+            c = codes(text)
+            wide = (c[:-1] >= 128) | (c[1:] >= 128)
+            return float((s[wide] < 0).mean()) if wide.any() else 1.0
+        if DIGIT.search(text):
+            text = text.translate(ZEROS)
+        two = [x for x in map(str.__add__, text, text[1:]) if not x.isascii()]
+        return sum(map(self.texts.__contains__, two)) / len(two) if two else 1.0
+
+    def all_seen(self, text: str) -> bool:
+        """Whether every pair is a seen one, or ASCII only."""
+        if DIGIT.search(text):
+            text = text.translate(ZEROS)
+        return all(x in self.texts or x.isascii() for x in map(str.__add__, text, text[1:]))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -145,29 +163,60 @@ def _lost_byte(error: UnicodeError) -> tuple[bytes, int]:
 codecs.register_error("lost-byte", _lost_byte)
 
 
+@lru_cache(maxsize=None)
+def _byte_table(codec: str) -> tuple:
+    """(the encoding map, the character of byte 0xFF, what stands for the controls it lacks) of a charset of one byte."""
+    table = [bytes([b]).decode(codec, "ignore") or chr(b) for b in range(256)]
+    return codecs.charmap_build("".join(table)), table[255], {c: table[ord(c)] for c in CONTROLS if c not in table}
+
+
+codecs.register_error("all-lost", lambda error: (b"\xff" * (error.end - error.start), error.end))
+CONTROL = re.compile("[\x80-\xa0\xad]")
+
+
 def _encode(text: str, codec: str) -> bytes | None:
     """The bytes that were read with ``codec``; a lost byte becomes 0xFF. None if the text can't come from it."""
     global _missed
     if codec.startswith("utf-16"):
         return text.replace(LOST, "\uffff").encode(codec, "surrogatepass")
+    if codec not in WIDE:
+        table, last, controls = _byte_table(codec)
+        if LOST in text:
+            text = text.replace(LOST, last)
+        for c in set(CONTROL.findall(text)):
+            text = text.replace(c, controls.get(c, c))
+        raw = codecs.charmap_encode(text, "ignore", table)[0]
+        missed = len(text) - len(raw)
+        if missed > 0.1 * len(text):
+            return None
+        return codecs.charmap_encode(text, "all-lost", table)[0] if missed else raw
     # a quick look at how much the charset has, before its gaps are filled one by one
-    single = sum(c < "\x80" or codec == "cp932" and c in ONE_BYTE for c in text) if codec in WIDE else 0
-    most = 2 * (len(text) - single) + single if codec in WIDE else len(text)
-    filled = text.count(LOST) + sum(text.count(c) for c in CONTROLS) if codec not in WIDE else 2 * text.count(LOST)
-    if len(text.encode(codec, "ignore")) + filled < (0.8 if codec in WIDE else 0.9) * most:
-        return None
+    raw = text.encode(codec, "ignore")
+    if len(raw) < 1.6 * len(text):
+        single = sum(c < "\x80" or codec == "cp932" and c in ONE_BYTE for c in text)
+        if len(raw) + 2 * text.count(LOST) < 0.8 * (2 * (len(text) - single) + single):
+            return None
+    try:
+        return text.encode(codec)
+    except UnicodeError:
+        pass
     _missed = 0
     raw = text.encode(codec, "lost-byte")
     return None if _missed > 0.1 * len(text) else raw
 
 
-def inverse(run: str, used: str, right: str) -> str | None:
-    """``run`` read again with the right charset, U+FFFD where bytes are lost. Text encoded more than once is undone as often."""
-    for again in range(3):
+def inverse(run: str, used: str, right: str, raw: bytes | None = None) -> str | None:
+    """``run`` read again with the right charset, U+FFFD where bytes are lost. Text encoded more than once is undone as often.
+
+    raw: the run's bytes in ``used``, where they are known already.
+    """
+    again = 0
+    while True:
         if LOST in run and right not in MULTI:  # a lost byte is no character of the right charset
             parts = [_encode(x, used) for x in run.split(LOST)]
             return None if None in parts or not any(parts) else LOST.join(x.decode(right, "replace") for x in parts)
-        raw = _encode(run, used)
+        if again or raw is None:
+            raw = _encode(run, used)
         if not raw:
             return None if not again else run
         if right.startswith("utf-16") and len(raw) % 2:
@@ -178,13 +227,20 @@ def inverse(run: str, used: str, right: str) -> str | None:
         if text == run:
             return None if not again else run
         run = text
+        again += 1
         if right != "utf-8" or used in WIDE:
-            break
-    return run
+            return run
 
 
 def _plausible(text: str) -> bool:
-    bad = sum(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") and c not in "\n\r\t" for c in text)
+    """Whether at most one in twenty characters is a control, unassigned, private or half of a pair."""
+    if text.isprintable():
+        return True
+    for space in "\n\r\t\u3000\xa0":
+        text = text.replace(space, " ")
+    if text.isprintable():
+        return True
+    bad = sum(text.count(c) for c in set(text) if unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs"))
     return bad * 20 <= len(text)
 
 
@@ -212,20 +268,30 @@ MULTI = {*WIDE, "utf-8", "utf-16-le", "utf-16-be"}
 _readings: dict[str, list] = {}
 
 
+BY_USED: dict[str, list[tuple[int, str]]] = {}
+for _i, (_used, _right) in enumerate(MAPPINGS):
+    BY_USED.setdefault(_used, []).append((_i, _right))
+
+
 def readings(run: str) -> list[tuple[str, tuple[str, str]]]:
     """All readings of a run by the mappings that give mostly valid text; kept for short runs, which recur."""
     found = _readings.get(run)
     if found is None:
-        found = []
+        order = []
         wide = sum(c >= "\u2e80" for c in run)
         odd = wide + sum("\x80" <= c < "\u2e80" for c in run)
-        for m in MAPPINGS:
+        for used, rights in BY_USED.items():
             # a charset of one byte has no wide characters, and text read with another one is full of them
-            if wide > 0.1 * len(run) if m[0] in NARROW else wide < 0.2 * odd:
+            if wide > 0.1 * len(run) if used in NARROW else wide < 0.2 * odd:
+                continue
+            raw = _encode(run, used)
+            if raw is None:  # then one of its parts between lost bytes can't come from it either
                 continue
-            text = inverse(run, *m)
-            if text and text.count(LOST) <= (1 - VALID) * len(text) and _plausible(text.replace(LOST, "")):
-                found.append((text, m))
+            for i, right in rights:
+                text = inverse(run, used, right, raw)
+                if text and text.count(LOST) <= (1 - VALID) * len(text) and _plausible(text.replace(LOST, "")):
+                    order.append((i, text))
+        found = [(text, MAPPINGS[i]) for i, text in sorted(order)]
         if len(run) < 64:
             if len(_readings) > 200_000:
                 _readings.clear()
@@ -235,15 +301,15 @@ def readings(run: str) -> list[tuple[str, tuple[str, str]]]:
 
 def restore(run: str, left: str, right_side: str, seen: Pairs, settled: list | None = None, trimmed: bool = False) -> tuple[str, tuple[str, str]] | None:
     """The best reading of an improbable run with its mapping, or None. left, right_side: a character of context on either side."""
+    key = (left, run, right_side, trimmed)
+    if not settled and key in seen.cache:
+        return seen.cache[key]
     options = [(inverse(run, *m), m) for m in settled] if settled else readings(run)
     if trimmed:  # between charsets of one byte, where a run begins and ends is certain
         options = [o for o in options if o[1][1] in MULTI]
-    if not options:
+    if not options and (settled or len(run) >= 64):
         return None
-    key = (left, run, right_side, trimmed)
-    if not settled and key in seen.cache:
-        return seen.cache[key]
-    before = seen.known(left + run + right_side)
+    before = seen.known(left + run + right_side) if options else 0.0
     best, score = None, 0.0
     for text, m in options:
         s = accepted(run, text, left, right_side, before, m, seen, bool(settled))
@@ -315,16 +381,24 @@ def whole_pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [(a + m.start(), a + m.end()) for m in PIECE.finditer(text[a:b])]
 
 
-def strict_readings(run: str) -> Iterator[tuple[str, tuple[str, str]]]:
+@lru_cache(maxsize=100_000)
+def strict_readings(run: str) -> tuple[tuple[str, tuple[str, str]], ...]:
     """The readings of a few wide characters without a lost byte."""
-    for m in MAPPINGS:
-        if m[0] not in NARROW:
+    order = []
+    for used, rights in BY_USED.items():
+        if used not in NARROW:
             try:
-                new = run.encode(WIDE.get(m[0], m[0])).decode("gb18030" if m[1] == "gbk" else m[1])
+                raw = run.encode(WIDE.get(used, used))
             except UnicodeError:
                 continue
-            if new != run and _plausible(new):
-                yield new, m
+            for i, right in rights:
+                try:
+                    new = raw.decode("gb18030" if right == "gbk" else right)
+                except UnicodeError:
+                    continue
+                if new != run and _plausible(new):
+                    order.append((i, new))
+    return tuple((new, MAPPINGS[i]) for i, new in sorted(order))
 
 
 def isolated(text: str, runs: list[tuple[int, int]], seen: Pairs) -> dict[tuple[int, int], tuple[str, tuple[str, str]]]:
@@ -341,18 +415,19 @@ def isolated(text: str, runs: list[tuple[int, int]], seen: Pairs) -> dict[tuple[
         near = [c for c in (text[a - 1 : a], text[b : b + 1]) if c]
         among = any(c.isalpha() and c < "\u2e80" for c in near)
         beside += among
-        before = seen.known(text[a - 1 : a] + text[a:b] + text[b : b + 1])
+        found = strict_readings(text[a:b])
+        before = seen.known(text[a - 1 : a] + text[a:b] + text[b : b + 1]) if found else 0.0
         best = 0.0
-        for new, m in strict_readings(text[a:b]):
+        for new, m in found:
             if among and m[1] not in MULTI and max(new) < "\u2e80" and any(c.isalpha() for c in new):
                 share = seen.known(text[a - 1 : a] + new + text[b : b + 1])
                 if share >= max(KNOWN, before + GAIN):
                     latin.setdefault(m, []).append((share, (a, b), new))
             elif not among and m[1] in MULTI:
-                inside = seen.score(new)
-                sure = len(inside) >= (1 if m[1] == "utf-8" else 2) and (inside < 0).all() and not new.isascii()
-                if sure and before < 0.25 and len(inside) > best:
-                    best, out[(a, b)] = len(inside), (new, m)
+                n = len(new) - 1
+                sure = n >= (1 if m[1] == "utf-8" else 2) and before < 0.25 and not new.isascii() and seen.all_seen(new)
+                if sure and n > best:
+                    best, out[(a, b)] = n, (new, m)
     if latin:
         m = max(latin, key=lambda x: (len(latin[x]), sum(s for s, *_ in latin[x])))
         if len(latin[m]) >= max(2, beside / 2):
@@ -411,14 +486,20 @@ def examine(text: str | None, seen: Pairs) -> tuple[str | None, int, int]:
     return fixed, restored, int(LOST in fixed or "锟斤拷" in fixed)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): documents by pair, by character, and in all; summed over each batch."""
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t and len(t) > 1]
         if not texts:
             continue
-        p, n = np.unique(np.concatenate([np.unique(pairs(t)) for t in texts]), return_counts=True)
-        c, m = np.unique(np.concatenate([np.unique(codes(t)) for t in texts]), return_counts=True)
+        coded = [codes(t) for t in texts]
+        p, n = np.unique(np.concatenate([_distinct((c[:-1] << SHIFT) | c[1:]) for c in coded]), return_counts=True)
+        c, m = np.unique(np.concatenate([_distinct(c) for c in coded]), return_counts=True)
         kind = np.concatenate([np.zeros(len(p), np.int32), np.ones(len(c), np.int32), np.full(1, 2, np.int32)])
         key = np.concatenate([p, c, np.zeros(1, np.uint64)]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([n, m, [len(texts)]]).astype(np.int64))], names=["kind", "key", "n"])
