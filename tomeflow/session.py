@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -50,10 +51,16 @@ def ensure_package(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that its lineage ends here.
 
-    The folder is the session's own ``spark.checkpoint.dir``; only a session without one, as in
-    tests, gets a folder of this process.
+    The folder is the session's own ``spark.checkpoint.dir``. Without one, a session whose tasks all
+    run in this process, as in tests, gets a folder of this process; any other is refused, as no
+    folder of one machine outlives an executor.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tomeflow-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tomeflow-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
