@@ -18,6 +18,7 @@ class Config:
     hybrid_search: bool = True
     paragraph_min_chars: int = 60
     segment_max_chars: int = 4000
+    analysis_max_chars: int = 8000
     embedding_max_chars: int = 4000
     chapter_pattern: str = r"第.{1,10}章|Chapter \d+"
     audit_min_length: int = 20

@@ -41,7 +41,7 @@ class Engine:
 
         key = ["novel_id", "chapter_id"]
         left = progress.pending(chapters, summaries, forced)
-        told = summarize.chapter_summaries(left, key, "content", self.provider, self.config.segment_max_chars)
+        told = summarize.chapter_summaries(left, key, "content", self.provider, self.config.segment_max_chars, self.config.analysis_max_chars)
         return left.select(*key, "content").join(told, key).select(*key, "summary", summary_status("content", "summary", "had_error").alias("summary_status"))
 
     def strict(self, chapters: DataFrame, summaries: DataFrame, prints: DataFrame | None = None) -> DataFrame:
@@ -67,9 +67,9 @@ class Engine:
     def volume_summaries(self) -> DataFrame:
         """(novel_id, volume_title, start_chapter, end_chapter, summary): a provider's summary of each volume run."""
         groups = volumes.volume_groups(self.lib.chapters_with("chapter_index", "title"), self.lib.last_summaries)
-        key = ["novel_id", "run", "volume_title", "start_chapter", "end_chapter"]
-        told = summarize.chapter_summaries(groups.select(*key, F.array_join("items", "\n").alias("text")), key, "text", self.provider, self.config.segment_max_chars)
-        return told.select("novel_id", "volume_title", "start_chapter", "end_chapter", "summary")
+        key = ["novel_id", "run"]
+        told = summarize.item_summaries(groups.select(*key, "items"), key, "items", self.provider, self.config.segment_max_chars, self.config.analysis_max_chars)
+        return groups.drop("items").join(told, key).select("novel_id", "volume_title", "start_chapter", "end_chapter", "summary")
 
     # ---- search
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tomeflow.functions.text import sanitized_summary, summary_from_json
-from tomeflow.operators.segment import segments
+from tomeflow.functions.text import sanitized_summary, summary_from_json, truncate
+from tomeflow.operators.segment import packed, segments
 from tomeflow.providers import Limiter
+from tomeflow.session import checkpointed
+
+PASSES = 3
 
 
 def mapped(rows: DataFrame, key: list[str], text_col: str, provider, per_second: float = 0.0, retries: int = 2) -> DataFrame:
@@ -37,14 +40,51 @@ def mapped(rows: DataFrame, key: list[str], text_col: str, provider, per_second:
     return rows.select(*key, text_col).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", result string, error string")
 
 
-def chapter_summaries(chapters: DataFrame, key: list[str], text_col: str, provider, max_chars: int = 4000, passes: int = 3) -> DataFrame:
-    """(key, summary, had_error): each pass summarises the packed segments and joins the results in order, until one segment
-    is left, nothing shrinks, or the passes are used up."""
-    rows = chapters.select(*key, F.col(text_col).alias("text"), F.lit(False).alias("had_error"))
+def _told(parts: DataFrame, key: list[str], provider) -> DataFrame:
+    """(key, text, had_error): the clean summaries of each key's pieces (pos, segment), joined in order.
+
+    It is written before anything reads it, or a plan that reads it twice would ask the provider twice.
+    """
+    told = mapped(parts, [*key, "pos"], "segment", provider)
+    rows = told.select(*key, "pos", F.col("error").isNotNull().alias("had_error"), sanitized_summary(summary_from_json("result")).alias("text"))
+    gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"), F.max("had_error").alias("had_error"))
+    joined = F.array_join(F.filter(F.transform("t", lambda x: x["text"]), lambda x: x != ""), "\n")
+    return checkpointed(gathered.select(*key, joined.alias("text"), "had_error"))
+
+
+def until_fit(rows: DataFrame, key: list[str], provider, segment_max: int, max_chars: int, passes: int = PASSES) -> DataFrame:
+    """(key, summary, had_error) of rows (key, text, had_error): while a text is longer than max_chars, its segments are
+    summarised and joined, at most ``passes`` times and only as long as that leaves something shorter; then it is cut to
+    max_chars and summarised once more. A pass holds only the texts that are still too long."""
+    long = F.length("text") > max_chars
+    done, left = rows.where(~long), rows.where(long)
     for _ in range(passes):
-        parts = rows.select(*key, "had_error", F.posexplode_outer(segments("text", max_chars)).alias("pos", "segment"))
-        told = mapped(parts, [*key, "pos", "had_error"], "segment", provider)
-        told = told.withColumn("had_error", F.col("had_error") | F.col("error").isNotNull()).withColumn("text", sanitized_summary(summary_from_json("result")))
-        gathered = told.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"), F.max("had_error").alias("had_error"))
-        rows = gathered.select(*key, F.array_join(F.filter(F.transform("t", lambda x: x["text"]), lambda x: x != ""), "\n").alias("text"), "had_error")
-    return rows.select(*key, F.col("text").alias("summary"), "had_error")
+        if left.isEmpty():
+            break
+        parts = left.select(*key, F.posexplode(segments("text", segment_max)).alias("pos", "segment"))
+        told = _told(parts, key, provider).select(*key, F.col("text").alias("_new"), F.col("had_error").alias("_error"))
+        both = left.join(told, key, "left")
+        shorter = F.coalesce((F.length("_new") > 0) & (F.length("_new") < F.length("text")), F.lit(False))
+        both = checkpointed(both.select(*key, F.when(shorter, F.col("_new")).otherwise(F.col("text")).alias("text"), (F.col("had_error") | F.coalesce("_error", F.lit(False))).alias("had_error"), shorter.alias("_shorter")))
+        done = done.unionByName(both.where(~F.col("_shorter") | ~long).drop("_shorter"))
+        left = both.where(F.col("_shorter") & long).drop("_shorter")
+    ready = done.unionByName(left).select(*key, truncate("text", max_chars).alias("text"), "had_error")
+    last = mapped(ready.where("text != ''"), [*key, "had_error"], "text", provider)
+    whole = last.select(*key, sanitized_summary(summary_from_json("result")).alias("summary"), (F.col("had_error") | F.col("error").isNotNull()).alias("had_error"))
+    return checkpointed(whole.unionByName(ready.where("text = ''").select(*key, F.lit("").alias("summary"), "had_error")))
+
+
+def chapter_summaries(chapters: DataFrame, key: list[str], text_col: str, provider, segment_max: int = 4000, max_chars: int | None = None) -> DataFrame:
+    """(key, summary, had_error): a text's packed segments summarised and joined, and that summarised until it fits. An empty or null text has an empty summary without a call. The key is unique and not null."""
+    rows = chapters.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = rows.select(*key, F.posexplode(segments("text", segment_max)).alias("pos", "segment"))
+    told = until_fit(_told(parts, key, provider), key, provider, segment_max, max_chars or segment_max)
+    return told.unionByName(rows.where("text = ''").select(*key, F.lit("").alias("summary"), F.lit(False).alias("had_error")))
+
+
+def item_summaries(groups: DataFrame, key: list[str], items_col: str, provider, segment_max: int = 4000, max_chars: int | None = None) -> DataFrame:
+    """(key, summary, had_error): a list's items packed whole into chunks of max_chars, the chunks summarised and joined, and that summarised until it fits. An empty list has an empty summary."""
+    most = max_chars or segment_max
+    rows = groups.select(*key, packed(F.filter(items_col, lambda x: x.isNotNull()), most).alias("chunks"))
+    told = until_fit(_told(rows.select(*key, F.posexplode("chunks").alias("pos", "segment")), key, provider), key, provider, segment_max, most)
+    return told.unionByName(rows.where(F.coalesce(F.size("chunks"), F.lit(0)) <= 0).select(*key, F.lit("").alias("summary"), F.lit(False).alias("had_error")))
