@@ -1,6 +1,6 @@
 """The audit of summaries: a score of what looks wrong, with its reasons."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,23 +25,64 @@ def _sized(prints: DataFrame) -> list:
     return rows
 
 
-def similarity(normalized: Column | str, prints: list[tuple[str, str]]) -> Column:
-    """struct(ratio, text): the fingerprint with the largest sequence-matching ratio, the first of equals."""
+class Fingerprints:
+    """A list of (text, normalized) to look texts up in.
 
-    @F.pandas_udf("ratio double, text string")
-    def best(texts: pd.Series) -> pd.DataFrame:
+    No ratio is computed that two bounds rule out, neither of which is ever below it: the one by
+    lengths, and the one by counts of characters in ``SLOTS`` slots, for all fingerprints at once.
+    """
+
+    SLOTS = 128
+
+    def __init__(self, prints: list[tuple[str, str]]):
+        import numpy as np
+
+        self.prints = [(i, text, norm) for i, (text, norm) in enumerate(prints) if norm]
+        self.counts = np.stack([self._count(norm) for _, _, norm in self.prints]) if self.prints else np.zeros((0, self.SLOTS), np.int32)
+        self.sizes = np.array([len(norm) for _, _, norm in self.prints], np.int64)
+        self.cache: dict[str, tuple[float, str, str | None]] = {}
+
+    def _count(self, text: str):
+        import numpy as np
+
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.bincount(codes % self.SLOTS, minlength=self.SLOTS).astype(np.int32)
+
+    def look(self, text: str, least: float) -> tuple[float, str, str | None]:
+        """(largest ratio, its fingerprint, the first fingerprint that the text contains); ratios below ``least`` count as 0, the first of equals wins."""
         import difflib
 
-        out = []
-        for t in texts:
-            top, name = 0.0, ""
-            for text, norm in prints:
-                m = difflib.SequenceMatcher(None, t or "", norm)
-                # the two cheap bounds are never below the ratio
-                if norm and m.real_quick_ratio() > top and m.quick_ratio() > top and (r := m.ratio()) > top:
-                    top, name = r, text
-            out.append((top, name))
-        return pd.DataFrame(out, columns=["ratio", "text"])
+        import numpy as np
+
+        if text in self.cache:
+            return self.cache[text]
+        held = next((t for _, t, norm in self.prints if norm in text), None)
+        top, name, best = 0.0, "", len(self.prints)
+        if self.prints:
+            bound = 2 * np.minimum(self.counts, self._count(text)).sum(axis=1) / np.maximum(1, self.sizes + len(text))
+            likely = np.flatnonzero(bound >= max(least, 1e-9))
+            # by bound, and in the list's order among equals: what comes later can't be above its bound
+            for i in likely[np.argsort(-bound[likely], kind="stable")].tolist():
+                if bound[i] < top:
+                    break
+                m = difflib.SequenceMatcher(None, text, self.prints[i][2])
+                if m.quick_ratio() >= max(least, top) and ((r := m.ratio()) > top or r == top > 0 and i < best) and r >= least:
+                    top, name, best = r, self.prints[i][1], i
+        if len(self.cache) > 100_000:
+            self.cache.clear()
+        self.cache[text] = (top, name, held)
+        return top, name, held
+
+
+def likeness(normalized: Column | str, prints: list[tuple[str, str]], least: float = 0.0) -> Column:
+    """struct(ratio, text, held): the fingerprint with the largest sequence-matching ratio, if that is at least ``least``,
+    and the first fingerprint that is contained. Repeated texts of a task are looked up once."""
+
+    @F.pandas_udf("ratio double, text string, held string")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Fingerprints(prints)
+        for texts in batches:
+            yield pd.DataFrame([known.look(t or "", least) for t in texts], columns=["ratio", "text", "held"])
 
     return best(col(normalized))
 
@@ -56,19 +97,14 @@ def audit(rows: DataFrame, prints: DataFrame | None = None, min_length: int = MI
     ]
     listed = _sized(prints) if prints is not None else []
     if listed:
-        checked = checked.withColumn("_sim", similarity("_n", [(p["text"], p["normalized"]) for p in listed]))
+        checked = checked.withColumn("_sim", likeness("_n", [(p["text"], p["normalized"]) for p in listed], threshold))
         ratio = F.col("_sim.ratio")
-        parts.append((ratio >= threshold, F.greatest(F.lit(0.3), ratio), F.concat(F.lit("fingerprint_sim="), F.format_string("%.2f", ratio), F.lit(":"), shorten("_sim.text", 50))))
-        held = F.lit(None).cast("string")
-        for p in reversed(listed):
-            if p["normalized"]:
-                held = F.when(F.col("_n").contains(p["normalized"]), F.lit(p["text"])).otherwise(held)
-        checked = checked.withColumn("_held", held)
-        parts.append((F.col("_held").isNotNull(), F.lit(1.0), F.concat(F.lit("contains_fingerprint:"), shorten("_held", 50))))
+        parts.append(((ratio >= threshold) & (ratio > 0), F.greatest(F.lit(0.3), ratio), F.concat(F.lit("fingerprint_sim="), F.format_string("%.2f", ratio), F.lit(":"), shorten("_sim.text", 50))))
+        parts.append((F.col("_sim.held").isNotNull(), F.lit(1.0), F.concat(F.lit("contains_fingerprint:"), shorten("_sim.held", 50))))
     parts.append((F.col("summary").rlike(r"(?d)(.)\1{8,}"), F.lit(0.3), F.lit("repeated_chars")))
     score = sum((F.when(cond, points).otherwise(0.0) for cond, points, _ in parts), F.lit(0.0))
     reasons = F.filter(F.array(*(F.when(cond, reason) for cond, _, reason in parts)), lambda r: r.isNotNull())
-    return checked.withColumn("score", F.round(score, 3)).withColumn("reasons", reasons).where(F.size("reasons") > 0).drop("_n", "_sim", "_held")
+    return checked.withColumn("score", F.round(score, 3)).withColumn("reasons", reasons).where(F.size("reasons") > 0).drop("_n", "_sim")
 
 
 def without_findings(rows: DataFrame, findings: DataFrame, key: list[str], min_score: float) -> DataFrame:
