@@ -148,6 +148,7 @@ def test_summaries_by_provider(spark):
     ch = spark.createDataFrame([("c0", "One. Two. " * 30), ("c1", ""), ("c2", None)], "chapter_id string, content string")
     got = {r.chapter_id: (r.summary, r.had_error) for r in summarize.chapter_summaries(ch, ["chapter_id"], "content", HashProvider(), 50).collect()}
     assert got["c0"][0].startswith("One.") and got["c1"] == ("", False) and got["c2"] == ("", False)
+    assert {r.chapter_id for r in summarize.chapter_summaries(ch.limit(0), ["chapter_id"], "content", HashProvider(), 50).collect()} == set()
     register("mine", HashProvider)
     assert create("mine", dim=4).dim == 4
     with pytest.raises(ValueError):
@@ -164,3 +165,70 @@ def test_rerank_and_semantic(spark):
     assert [r.id for r in search.rerank(df, "q", None, 1, ties=("id",)).collect()] == ["a"]
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])], "id string, v array<double>")
     assert [(r.id, r.score) for r in search.semantic(v, "v", [1.0, 0.0], 5, "id").select("id", "score").collect()] == [("a", 1.0), ("c", 0.0)]
+
+
+def test_provider_calls(spark, tmp_path):
+    """Once for each segment, again only for what is too long and shrinks, and once at the end."""
+    log = str(tmp_path / "calls")
+
+    class Counting(HashProvider):
+        def __init__(self, share):
+            self.share = share
+
+        def analyze_plot(self, text):
+            if text == "bad":
+                raise ValueError("no")
+            with open(log, "a") as f:
+                f.write(f"{len(text)}\n")
+            return {"summary": text[: max(1, int(len(text) * self.share))]}
+
+    def calls(rows, share, **sizes):
+        open(log, "w").close()
+        out = summarize.chapter_summaries(spark.createDataFrame(rows, "id string, text string"), ["id"], "text", Counting(share), **sizes)
+        got = {r.id: (r.summary, r.had_error) for r in out.collect()}
+        return got, len(open(log).read().split())
+
+    assert calls([("a", "x" * 40)], 0.5, segment_max=100) == ({"a": ("x" * 10, False)}, 2)
+    assert calls([("a", ""), ("b", None)], 0.5, segment_max=100) == ({"a": ("", False), "b": ("", False)}, 0)
+    long = "\n\n".join("y" * 90 for _ in range(10))
+    # ten segments of 90, ten halves joined (459), of which five segments of up to 100 are left (229), and so on until 100 fit
+    got, n = calls([("a", long), ("b", "z" * 20)], 0.5, segment_max=100)
+    assert got["b"] == ("z" * 5, False) and len(got["a"][0]) <= 50 and 10 + 5 + 2 < n < 30
+    # nothing shrinks: one pass more, then it is cut and told once
+    got, n = calls([("a", long)], 1.0, segment_max=100)
+    assert len(got["a"][0]) == 100 and n == 10 + 10 + 1
+    got, n = calls([("a", "bad"), ("b", "ok")], 1.0, segment_max=100)
+    assert got == {"a": ("", True), "b": ("ok", False)}
+    out = summarize.item_summaries(spark.createDataFrame([("a", ["p" * 30, "q" * 30, None]), ("b", [])], "id string, items array<string>"), ["id"], "items", Counting(1.0), 40).collect()
+    assert {r.id: r.summary for r in out} == {"a": ("p" * 30 + "\n" + "q" * 9), "b": ""}
+
+
+def test_rerank_fails_open(spark):
+    class Broken:
+        def score(self, queries, texts):
+            raise RuntimeError("no model")
+
+    df = spark.createDataFrame([("a", 3.0, "x"), ("b", 1.0, "long"), ("c", 2.0, None)], "id string, score double, snippet string")
+    assert [r.id for r in search.rerank(df, "q", Broken(), 2, ties=("id",)).collect()] == ["a", "c"]
+
+
+def test_audit_of_ten_thousand_fingerprints(spark):
+    import difflib
+    import random
+
+    rng = random.Random(1)
+    words = ["lantern", "harbour", "mirror", "ledger", "oath", "frost", "cipher", "vigil", "tide", "thorn"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    prints = spark.createDataFrame([(i, line(6) + f" {i}") for i in range(10_000)], "pos int, line string")
+    listed = [(r["text"], r["normalized"]) for r in audit.fingerprints(prints, "line").collect()]
+    texts = [listed[7000][0], listed[5][0][:-6] + "xx", "They part.", line(40) + " " + listed[123][0] + " " + line(3), line(6)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, None), (10, " ")], "id int, summary string")
+    got = {r.id: (r.score, list(r.reasons)) for r in audit.audit(df, audit.fingerprints(prints, "line"), 0, 0.9, ["(?!)"]).collect()}
+    assert got[0][0] == 2.0 and got[0][1] == [f"fingerprint_sim=1.00:{listed[7000][0]}", f"contains_fingerprint:{listed[7000][0]}"]
+    assert any(r.startswith("contains_fingerprint") for r in got[3][1]) and 2 not in got and 9 not in got and 10 not in got
+    # against every ratio
+    known = audit.Fingerprints(listed[:300])
+    for t in [line(6), line(2), listed[3][1], ""]:
+        best = max(((difflib.SequenceMatcher(None, t, n).ratio(), -i) for i, (_, n) in enumerate(listed[:300])))
+        top, name, _ = known.look(t, 0.5)
+        assert (top, name) == ((best[0], listed[-best[1]][0]) if best[0] >= 0.5 else (0.0, ""))

@@ -55,10 +55,12 @@ def judged(suspicious: DataFrame, text_col: str, classifier) -> DataFrame:
 
 def clean(paragraphs: DataFrame, key: list[str], classifier=None) -> DataFrame:
     """``paragraphs`` (key, index, text) without advertisement; chapters left empty vanish and the rest are renumbered as chapter_no."""
-    total = paragraphs.groupBy(*key).agg(F.count("*").alias("total"))
-    rows = paragraphs.where(~is_ad("text")).join(total, key)
+    rows = paragraphs.where(~is_ad("text"))
     if classifier is not None:
-        verdicts = judged(rows.where(is_suspicious("text", "index", "total")), "text", classifier)
+        # only short texts with a weak word can be suspicious, so no other is joined with its chapter's size
+        weak = rows.where((F.length("text") <= MAX_SUSPICIOUS) & contains_any("text", WEAK_WORDS))
+        total = paragraphs.groupBy(*key).agg(F.count("*").alias("total"))
+        verdicts = judged(weak.join(total, key).where(is_suspicious("text", "index", "total")), "text", classifier)
         rows = rows.join(verdicts.where("is_ad"), "text", "left_anti")
     w = Window.partitionBy(key[:-1]).orderBy(key[-1])
     numbers = rows.select(*key).distinct().withColumn("chapter_no", F.row_number().over(w))

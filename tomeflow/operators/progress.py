@@ -73,3 +73,13 @@ def first_characters(characters: DataFrame) -> DataFrame:
     rows = characters.withColumn("k", key)
     first = rows.groupBy("novel_id", "k").agg(F.min_by(F.struct("pos", "name", "role", "relationships"), "pos").alias("c"))
     return first.select("novel_id", "c.*")
+
+
+PROGRESS_FORM = "struct<chapter_index:int,chapter_summaries:array<map<string,string>>,characters:array<map<string,string>>>"
+
+
+def normalized(progress_json: str) -> F.Column:
+    """Saved progress with defaults: from the first chapter and without summaries and characters where it has none or can't be read."""
+    p = F.from_json(F.col(progress_json), PROGRESS_FORM)
+    none = F.expr("CAST(array() AS array<map<string,string>>)")
+    return F.struct(F.coalesce(p["chapter_index"], F.lit(0)).alias("chapter_index"), F.coalesce(p["chapter_summaries"], none).alias("chapter_summaries"), F.coalesce(p["characters"], none).alias("characters"))

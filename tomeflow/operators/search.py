@@ -218,14 +218,21 @@ def fuse(vectors: DataFrame, keywords: DataFrame, key: list[str], k: int = 5, ve
 
 
 def rerank(candidates: DataFrame, query: str, scorer, k: int, text_col: str = "snippet", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Candidates by a model's score of (query, text); with no model they keep their order."""
+    """Candidates by a model's score of (query, text); with no model, or one that fails, they keep their order. At most the
+    fused candidates meet in one task."""
     if scorer is None:
         return top(candidates, k, *ties)
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(scorer.score([query] * len(texts), list(texts)), dtype="float64")
-
-    return top(candidates.withColumn("rerank_score", scored(text_col)), k, *ties, score="rerank_score")
+        try:
+            return pd.Series([float(x) for x in scorer.score([query] * len(texts), ["" if t is None else t for t in texts])], index=texts.index, dtype="float64")
+        except Exception:  # a model's failure of any kind
+            return pd.Series([None] * len(texts), index=texts.index, dtype="float64")
+
+    rows = candidates.withColumn("rerank_score", scored(text_col))
+    failed = F.max(F.col("rerank_score").isNull() | F.isnan("rerank_score")).over(Window.partitionBy())
+    return top(rows.withColumn("_by", F.when(failed, F.col("score")).otherwise(F.col("rerank_score"))), k, *ties, score="_by").drop("_by")
 
 
 def cosine_to(column: str, query_vector: list[float]) -> Column:

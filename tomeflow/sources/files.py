@@ -100,8 +100,9 @@ NOVEL = (
 
 
 def read_novels(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
-    """Novels kept as one JSON file each. Files of progress aren't novels; unreadable ones are left out."""
-    df = spark.read.schema(NOVEL).json(f"{folder}/*.json", multiLine=True, mode="DROPMALFORMED").where(~F.col("_metadata.file_name").endswith(".progress.json"))
+    """Novels kept as JSON, one in a file, in the folder itself or in a novel's own folder as ``write_novels`` makes it.
+    Files of progress aren't novels; unreadable ones are left out."""
+    df = spark.read.schema(NOVEL).json(folder, multiLine=True, mode="DROPMALFORMED", recursiveFileLookup=True, pathGlobFilter="*.json").where(~F.col("_metadata.file_name").endswith(".progress.json"))
     df = df.where("novel_id IS NOT NULL")
     return df.select(*columns) if columns else df
 
@@ -110,13 +111,17 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return read_novels(spark, folder, ["novel_id", "title", "created_at"])
 
 
-def file_name(novel_id: F.Column | str) -> F.Column:
-    return F.concat(F.replace(F.col(novel_id) if isinstance(novel_id, str) else novel_id, F.lit("/"), F.lit("_")), F.lit(".json"))
+def folder_name(novel_id: F.Column | str) -> F.Column:
+    return F.replace(F.col(novel_id) if isinstance(novel_id, str) else novel_id, F.lit("/"), F.lit("_"))
 
 
 def write_novels(df: DataFrame, folder: str) -> None:
-    """A folder of JSON lines, one partition a novel, replaced as a whole only when all is written."""
-    df.withColumn("key", F.regexp_replace(file_name("novel_id"), r"\.json$", "")).write.mode("overwrite").partitionBy("key").json(folder)
+    """One folder for each novel, with its JSON; only the novels that ``df`` has are replaced, when all is written.
+    Of several rows of a novel the one created last is kept."""
+    last = df.where("novel_id IS NOT NULL").groupBy("novel_id").agg(F.max_by(F.struct(*[c for c in df.columns if c != "novel_id"]), F.coalesce("created_at", F.lit(""))).alias("r"))
+    rows = last.select("novel_id", "r.*").select(*df.columns).withColumn("key", folder_name("novel_id"))
+    # a novel is one row, so it is one file wherever it is written
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1).partitionBy("key").json(folder)
 
 
 def nested_chapters(novels: DataFrame) -> DataFrame:
