@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -232,3 +233,103 @@ def test_audit_of_ten_thousand_fingerprints(spark):
         best = max(((difflib.SequenceMatcher(None, t, n).ratio(), -i) for i, (_, n) in enumerate(listed[:300])))
         top, name, _ = known.look(t, 0.5)
         assert (top, name) == ((best[0], listed[-best[1]][0]) if best[0] >= 0.5 else (0.0, ""))
+
+
+def test_kept_index_finds_what_bm25_finds(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    words = ["lantern", "harbour", "mirror", "铜灯", "白塔", "frost"]
+    rows = [(f"n{i % 3}", f"c{i}", i, f"t{i}", "\n\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(3, 20))) for _ in range(4))) for i in range(30)]
+    ch = spark.createDataFrame(rows, "novel_id string, chapter_id string, chapter_index int, title string, content string")
+    index = search.Bm25Index(spark, str(tmp_path / "index"))
+    index.build(ch, 20)
+    order = lambda df: sorted(map(tuple, df.collect()))
+    for query, options in (("铜灯 lantern", {}), ("白塔", {"novel_id": "n1"}), ("frost frost 灯", {"chapter_range": (3, 20)}), ("nowhere", {})):
+        assert order(index.search(query, 7, **options)) == order(search.bm25(ch, query, 7, min_len=20, **options))
+    assert index.search(" ", 5).count() == 0
+
+
+def test_by_meaning(spark):
+    p = HashProvider()
+    ch = spark.createDataFrame([("n", "a", 0, "t", "the bronze lantern went out " * 3, None), ("n", "b", 1, "u", "a sealed letter came at dawn " * 3, [1.0] * 64), ("n", "c", 2, "v", None, [1.0] * 64)], "novel_id string, chapter_id string, chapter_index int, title string, content string, embedding array<double>")
+    q = p.embed("the bronze lantern")
+    assert search.paragraph_by_meaning(ch, q, p, 1, min_len=10).first().chapter_id == "a"
+    assert [r.chapter_id for r in search.chapter_by_meaning(ch, [1.0] * 64, 5).collect()] == ["b"]
+    plots = spark.createDataFrame([("n", 0, "v", "a", "b", "the bronze lantern"), ("n", 1, "w", "a", "b", None)], "novel_id string, plot_index int, volume_title string, start_chapter string, end_chapter string, summary string")
+    assert search.plot_by_meaning(plots, q, p).first().score == 1.0 and search.plot_by_meaning(plots, q, p).count() == 1
+    novels = spark.createDataFrame([("n", "T", "the bronze lantern", ["f"], None, None), ("m", "U", "a letter", None, None, [1.0] * 64), ("o", "V", None, None, None, None)], "novel_id string, title string, summary string, features array<string>, characters array<string>, summary_embedding array<double>")
+    assert [(r.novel_id, r.features) for r in search.novel_by_meaning(novels, q, 1, p).collect()] == [("n", ["f"])] and search.novel_by_meaning(novels, q, 5).count() == 1
+
+
+def test_reindex_and_rewrite(spark, tmp_path):
+    p, store = HashProvider(), chunks.ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("n/1", "n", "paragraph", "the lantern"), ("n/2", "n", "paragraph", ""), ("m/1", "m", "paragraph", "a letter")], "chunk_id string, novel_id string, content_type string, content string")
+    assert {(r.novel_id, r.stored, r.skipped) for r in chunks.reindex(store, rows, p).collect()} == {("n", 1, False), ("m", 1, False)}
+    assert {(r.novel_id, r.stored, r.skipped) for r in chunks.reindex(store, rows, p).collect()} == {("n", 1, True), ("m", 1, True)}
+    assert {(r.novel_id, r.stored, r.skipped) for r in chunks.reindex(store, rows.where("chunk_id = 'n/1'"), p, True).collect()} == {("n", 1, False)}
+    assert store.count() == 2
+    summary, chapter = chunks.record_vectors(spark.createDataFrame([("n", "s s"), ("m", None)], "novel_id string, summary string"), spark.createDataFrame([("n", "c", "x y")], "novel_id string, chapter_id string, content string"), p)
+    assert {r.novel_id: r.summary_embedding is not None for r in summary.collect()} == {"n": True, "m": False} and len(chapter.first().embedding) == 64
+    folder = str(tmp_path / "summaries")
+    spark.createDataFrame([(1, "bad"), (2, "good")], "id int, summary string").write.parquet(folder)
+    found = spark.createDataFrame([(1, 0.9)], "id int, score double")
+    assert audit.rewritten(spark, folder, found, ["id"], 0.5) == 1 and audit.rewritten(spark, folder, found, ["id"], 0.5) == 0
+    assert [r.id for r in spark.read.parquet(folder).collect()] == [2] and spark.read.parquet(folder + ".bak").count() == 2
+
+
+def test_answers_of_providers(spark):
+    from tomeflow.functions.text import error_decision, string_array, utc_now
+
+    rows = ['queries: ["a", "b \\" c", "d"] ok', "[1, 2]", "none", None, '["x", 1]', "[]", '["1","2","3","4","5","6"]']
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r.a for r in df.select(string_array("t").alias("a")).collect()] == [["a", 'b " c', "d"], None, None, None, None, [], ["1", "2", "3", "4", "5"]]
+    errors = spark.createDataFrame([("HTTP 502 Bad Gateway",), ("Insufficient quota 429",), ("timed out",), ("odd",), (None,)], "t string")
+    assert [tuple(r.d) if r.d else None for r in errors.select(error_decision("t").alias("d")).collect()] == [("throttle", "upstream_5xx"), ("disable", "quota_exhausted"), ("throttle", "network_error"), None, None]
+    assert spark.range(1).select(utc_now().alias("n")).first().n.endswith("Z")
+
+    class Failing(HashProvider):
+        def analyze_plot(self, text):
+            if "x" in text:
+                raise ValueError("no")
+            return {"summary": text}
+
+    texts = spark.createDataFrame([("a", "ok"), ("b", "x")], "id string, text string")
+    with pytest.raises(RuntimeError, match="1 failed: b: no"):
+        summarize.strictly_mapped(texts, ["id"], "text", Failing(), retries=0)
+    assert summarize.strictly_mapped(texts.where("id = 'a'"), ["id"], "text", Failing()).count() == 1
+
+
+def test_paragraphs_of_a_long_text(spark):
+    """Against the rule in Python; and the work grows with the text, not with its square."""
+    import random
+    import time
+
+    from tomeflow.operators.segment import paragraphs_a
+
+    rng = random.Random(3)
+    block = lambda: " ".join(rng.choice(["ab", "cde\nfg", "铜灯"]) for _ in range(rng.choice([1, 2, 3, 30])))
+    texts = ["\n\n".join(block() for _ in range(n)) for n in (0, 1, 5, 40)] + ["\n \n", None]
+
+    def by_hand(text):
+        out = []
+        for b in filter(None, (x.strip() for x in re.split(r"\n\s*\n", text))):
+            if len(b) >= 60:
+                out.append(b)
+                continue
+            line = " ".join(filter(None, (x.strip() for x in b.split("\n"))))
+            if out:
+                out[-1] += " " + line
+            else:
+                out.append(line)
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.p for r in df.select(paragraphs_a("t").alias("p")).collect()] == [None if t is None else by_hand(t) for t in texts]
+    took = []
+    for n in (20_000, 80_000):
+        one = spark.createDataFrame([("\n\n".join("x" * 70 for _ in range(n)),)], "t string")
+        began = time.time()
+        assert one.select(F.size(paragraphs_a("t"))).first()[0] == n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 2

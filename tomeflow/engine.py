@@ -85,15 +85,31 @@ class Engine:
 
     recommend_novels = search_novel
 
+    def search_by_meaning(self, level: str, query: str, k: int = 5, novel_id: str | None = None, chapter_range: tuple[int, int] | None = None) -> DataFrame:
+        """novel, chapter, paragraph or plot, by vectors of the stored texts themselves; without a vector of the query, by words."""
+        v = self._vector(query)
+        if level == "novel":
+            return search.novel_by_meaning(self.lib.novels, v, k, self.provider) if v else answers.novels_for(self.lib, query, k)
+        if level == "chapter":
+            chapters = self.lib.chapters_with("chapter_index", "title", "content", "embedding")
+            return search.chapter_by_meaning(chapters, v, k, novel_id) if v else search.chapter_content_keyword(self.lib.chapters, query, k, novel_id)
+        if level == "paragraph":
+            find = search.paragraph_by_meaning(self.lib.chapters, v, self.provider, k, novel_id, chapter_range, self.config.paragraph_min_chars) if v else None
+            return find if v else search.paragraph_keyword(self.lib.chapters, query, k, novel_id, chapter_range, self.config.paragraph_min_chars)
+        if level == "plot":
+            return search.plot_by_meaning(self.lib.plots, v, self.provider, k, novel_id) if v else search.plot_keyword(self.lib.plots, query, k, novel_id)
+        raise ValueError(f"no level is called {level}")
+
     def search_chapters(self, query: str, k: int = 5, novel_id: str | None = None, qualified_keys: bool = False) -> DataFrame:
         v = self._vector(query)
         if not v:
             return answers.chapters_for(self.lib, query, k, novel_id, qualified_keys)
-        words = answers.chapters_for(self.lib, query, k, novel_id, qualified_keys).where("stage = 1")
+        words = search.chapter_summary_keyword(self.lib.summaries, self.lib.chapters_with("chapter_index", "title"), query, k, novel_id)
+        words = words.select(F.lit(1).alias("stage"), F.col("item_pos").alias("rank"), "novel_id", "chapter_id", "chapter_title", F.col("score").cast("double").alias("score"), "snippet", "source")
         near = search.vector_search(self.lib.chunks, v, k, "chapter_summary", novel_id)  # the best k first, then without those found
         more = near.join(words.select("chapter_id").distinct(), "chapter_id", "left_anti")
-        more = more.select(F.lit(2).alias("stage"), F.lit(0).alias("rank"), "novel_id", "chapter_id", "chapter_title", "score", truncate("content", 300).alias("snippet"), F.lit("vector").alias("source"))
-        return words.withColumn("score", F.col("score").cast("double")).unionByName(more).orderBy("stage", "rank", F.col("score").desc(), "novel_id", "chapter_id").limit(k)
+        more = more.select(F.lit(2).alias("stage"), F.lit(0).cast("bigint").alias("rank"), "novel_id", "chapter_id", "chapter_title", "score", truncate("content", 300).alias("snippet"), F.lit("vector").alias("source"))
+        return words.unionByName(more).orderBy("stage", F.col("score").desc(), "novel_id", "chapter_id", "rank").limit(k)
 
     def search_paragraphs(self, query: str, k: int = 5, novel_id: str | None = None, chapter_range: tuple[int, int] | None = None) -> DataFrame:
         if not self.config.paragraph_search:
@@ -130,8 +146,9 @@ class Engine:
     def list_novels(self) -> DataFrame:
         return self.lib.novels.select("novel_id", "title", "created_at")
 
-    def export_content_chunks(self, include_chapters: bool = True) -> DataFrame:
-        return export.export_chunks(self.lib.novels, self.lib.chapters, include_chapters)
+    def export_content_chunks(self, include_chapters: bool = True, include_embeddings: bool = False) -> DataFrame:
+        chapters = self.lib.chapters_with("chapter_index", "title", "content", "metadata", "embedding") if include_embeddings else self.lib.chapters
+        return export.export_chunks(self.lib.novels, chapters, include_chapters, include_embeddings)
 
     def get_summary(self, novel_id: str | None = None, text: str | None = None) -> str:
         if text:
@@ -157,9 +174,14 @@ class Engine:
     def hierarchical_search(self, query: str, novel_id: str | None = None) -> DataFrame:
         return answers.hierarchical(self.lib, query, novel_id)
 
-    def query_rewrite_search(self, queries: list[str], novel_id: str | None = None, k_per_query: int = 5) -> DataFrame:
+    def query_rewrite_search(self, question: str | list[str], novel_id: str | None = None, k_per_query: int = 5) -> DataFrame:
+        """By the provider's sub-queries of a question, or by those given."""
+        queries = answers.sub_queries(self.lib, question, self.provider) if isinstance(question, str) else question
         return answers.rewritten(self.lib, queries, novel_id, k_per_query)
 
+    def hierarchical_answer(self, question: str, query: str | None = None, novel_id: str | None = None) -> DataFrame:
+        return answers.answered_in_steps(self.lib, question, query or question, self.provider, novel_id)
+
     def comprehensive_answer(self, question: str, query: str | None = None, novel_id: str | None = None, k: int = 10) -> DataFrame:
         return answers.comprehensive(self.lib, question, query or question, novel_id, k, answers.keywords_of(self.lib, question))
 

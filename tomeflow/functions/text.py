@@ -193,3 +193,40 @@ def summary_from_json(c: Column | str) -> Column:
         items = F.filter(F.transform(F.try_variant_get(parsed, f"$.{key}", "array<string>"), strip), lambda x: x != "")
         out.append(F.when(kind.startswith("OBJECT"), nested).when(kind.startswith("ARRAY"), non_empty(F.array_join(items, "\n"))).otherwise(non_empty(strip(text))))
     return F.when(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT"), stripped).otherwise(F.coalesce(*out, F.lit("")))
+
+
+#: An array of JSON strings and nothing else.
+_STRINGS = r'(?s)\[\s*("(\\.|[^"\\])*+"(\s*,\s*"(\\.|[^"\\])*+")*+)?\s*\]'
+
+
+def string_array(c: Column | str, n: int = 5) -> Column:
+    """The first n strings of the JSON array in free text, from its first bracket to its last; null where that isn't an array of strings."""
+    found = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?s)\[.*\]", 0)
+    return F.when(found.rlike(f"^{_STRINGS}$"), F.slice(F.from_json(found, "array<string>"), 1, n))
+
+
+def utc_now() -> Column:
+    """The query's time in UTC, as ISO text with microseconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+# What tells a provider's errors apart, in the order in which it is looked for.
+ERROR_KINDS = [
+    ("quota_exhausted", "disable", ["allocationquota", "quota", "insufficient"]),
+    ("upstream_5xx", "throttle", ["502", "503", "504", "bad gateway", "cloudflare"]),
+    ("rate_limited", "throttle", ["429", "rate limit", "too many requests"]),
+    ("network_error", "throttle", ["timeout", "timed out", "connection"]),
+]
+
+
+def error_decision(c: Column | str) -> Column:
+    """struct(action, reason) of a provider's error; null for one that calls for nothing."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    out = None
+    for reason, action, words in ERROR_KINDS:
+        held = low.contains(words[0])
+        for w in words[1:]:
+            held = held | low.contains(w)
+        one = F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+        out = F.when(held, one) if out is None else out.when(held, one)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tomeflow.functions.text import confident, extract_keywords, non_empty, question_kind, truncate
+from tomeflow.functions.text import confident, extract_keywords, non_empty, question_kind, string_array, truncate
 from tomeflow.operators import search
 from tomeflow.sources.library import Library
 
@@ -145,3 +145,42 @@ def context(hits: DataFrame, max_chars: int = 4000) -> DataFrame:
     listed = hits.groupBy("level").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "novel_id", "chapter_id", "paragraph_index", "text"))).alias("h"))
     lines = F.transform("h", lambda h, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(h["text"], F.lit(""))))
     return listed.select("level", truncate(F.array_join(lines, "\n"), max_chars).alias("text"))
+
+
+def sub_queries(lib: Library, question: str, provider, n: int = 5) -> list[str]:
+    """The provider's sub-queries, if it gives an array of strings, else the question alone."""
+    try:
+        reply = provider.analyze_plot(question)
+        text = str(reply.get("summary") or reply.get("answer") or "")
+    except Exception:  # a provider's failure of any kind
+        text = ""
+    found = lib.spark.range(1).select(string_array(F.lit(text), n).alias("q")).first()["q"]
+    return [q for q in found or [] if q] or [question]
+
+
+LEVELS = [("overview", "high"), ("plot", "medium"), ("chapter", "medium"), ("paragraph", "low")]
+
+
+def answered_in_steps(lib: Library, question: str, query: str, provider, novel_id: str | None = None) -> DataFrame:
+    """(step_no, step, answer, context_size, results, confidence): the levels of ``hierarchical`` from the top, each level's texts given
+    to the provider, until an answer is sure; its row has a confidence, and rows before it have none. If none is sure, the last row's is "low"."""
+    hits = hierarchical(lib, query, novel_id)
+    texts = {}
+    for r in hits.collect():  # at most the caps' rows
+        texts.setdefault(r["level"], []).append(r["text"] or "")
+    rows = []
+    for i, (level, confidence) in enumerate(LEVELS):
+        found = texts.get(level, [])
+        given = "\n\n".join(t for t in found if t)
+        reply = ""
+        if given:
+            try:
+                told = provider.analyze_plot(f"{question}\n\n{given}")
+                reply = str(told.get("summary") or told.get("answer") or "")
+            except Exception:  # a provider's failure of any kind
+                reply = ""
+        sure = bool(lib.spark.range(1).select(confident(F.lit(reply)).alias("c")).first()["c"])
+        rows.append((i + 1, level, reply if sure else "", len(given), len(found), confidence if sure else "low" if i == len(LEVELS) - 1 else None))
+        if sure:
+            break
+    return lib.spark.createDataFrame(rows, "step_no int, step string, answer string, context_size int, results int, confidence string")

@@ -110,3 +110,24 @@ def audit(rows: DataFrame, prints: DataFrame | None = None, min_length: int = MI
 def without_findings(rows: DataFrame, findings: DataFrame, key: list[str], min_score: float) -> DataFrame:
     """``rows`` without those that a finding of at least min_score points to."""
     return rows.join(findings.where(F.col("score") >= min_score).select(*key).distinct(), key, "left_anti")
+
+
+def rewritten(spark, folder: str, findings: DataFrame, key: list[str], min_score: float = 0.0, backup: bool = True) -> int:
+    """Takes what the findings point to out of a folder of parquet and returns how many rows that was; the former folder stays as ``<folder>.bak``."""
+    from tomeflow.session import checkpointed
+
+    rows = spark.read.parquet(folder)
+    kept = checkpointed(without_findings(rows, findings, key, min_score))
+    gone = rows.count() - kept.count()
+    if gone:
+        path, former = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, f"{folder}.bak"))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        new = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}.new")
+        kept.write.mode("overwrite").parquet(f"{folder}.new")  # whole before anything is replaced
+        files.delete(former, True)
+        files.rename(path, former)
+        files.rename(new, path)
+        if not backup:
+            files.delete(former, True)
+        spark.catalog.refreshByPath(folder)
+    return gone

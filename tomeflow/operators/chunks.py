@@ -112,3 +112,30 @@ class ChunkStore:
 
 def _escaped(spark: SparkSession, value: str) -> str:
     return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def reindex(store: ChunkStore, chunks: DataFrame, provider, force: bool = False) -> DataFrame:
+    """Embeds and stores the chunks of the novels that have none in the store, or of all (force), whose old chunks go first;
+    returns (novel_id, stored, skipped): how many chunks each has now, and whether it was left as it was."""
+    from tomeflow.session import checkpointed
+
+    spark = store.spark
+    novels = chunks.select("novel_id").distinct()
+    there = store.read().select("novel_id").distinct() if store.exists() else spark.createDataFrame([], "novel_id string")
+    skipped = checkpointed(there.limit(0) if force else novels.join(there, "novel_id", "left_semi"))
+    if force:
+        for row in checkpointed(novels.join(there, "novel_id", "left_semi")).collect():  # novels of one call
+            store.delete_novel(row["novel_id"])
+    fresh = chunks.join(skipped, "novel_id", "left_anti")
+    store.upsert(checkpointed(embedded(fresh, provider)))
+    counts = store.read().groupBy("novel_id").agg(F.count("*").alias("n"))
+    return novels.join(counts, "novel_id", "left").join(skipped.withColumn("skipped", F.lit(True)), "novel_id", "left").select("novel_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("stored"), F.coalesce("skipped", F.lit(False)).alias("skipped"))
+
+
+def record_vectors(novels: DataFrame, chapters: DataFrame, provider, max_chars: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """((novel_id, summary_embedding), (novel_id, chapter_id, embedding)): the provider's vectors of what is stored, cut to max_chars; null without text or vector."""
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in provider.embed(t)] or None if t else None for t in texts], index=texts.index, dtype=object)
+
+    return novels.select("novel_id", embed(truncate("summary", max_chars)).alias("summary_embedding")), chapters.select("novel_id", "chapter_id", embed(truncate("content", max_chars)).alias("embedding"))

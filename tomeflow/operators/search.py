@@ -185,6 +185,46 @@ def bm25(chapters: DataFrame, query: str, k: int = 5, novel_id: str | None = Non
     return top(rounded, k, "novel_id", "chapter_index", "chapter_id", "paragraph_index").select(*key, "score", truncate("text", 300).alias("snippet"))
 
 
+class Bm25Index:
+    """A kept index: (novel_id, place of a paragraph, term, tf, dl) in buckets of terms, the paragraphs, and (novel_id, floor, avgdl)
+    with (novel_id, term, idf). A query reads the buckets of its own terms and the paragraphs that it returns."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(Bm25Index.BUCKETS)).cast("int").alias("bucket")
+
+    def build(self, chapters: DataFrame, min_len: int = 60) -> None:
+        """Replaces the index by that of ``chapters``."""
+        rows = paragraphs(chapters, min_len)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/paragraphs")
+        rows = self.spark.read.parquet(f"{self.folder}/paragraphs")
+        terms = bm25_terms(rows)
+        terms.select("*", self.bucket(F.col("term"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/terms")
+        sizes, df = bm25_statistics(rows)
+        bm25_idf(sizes, df).select("novel_id", "term", "idf", "avgdl", self.bucket(F.col("term"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/idf")
+
+    def search(self, query: str, k: int = 5, novel_id: str | None = None, chapter_range: tuple[int, int] | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """As ``bm25``. A query without tokens finds nothing."""
+        asked = self.spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("w")).select("*", self.bucket(F.col("term"))).collect()
+        if not asked:
+            return self.spark.createDataFrame([], "novel_id string, chapter_id string, chapter_index int, chapter_title string, paragraph_index int, score double, snippet string")
+        buckets, terms = sorted({r["bucket"] for r in asked}), [r["term"] for r in asked]
+        own = lambda name: of_novel(self.spark.read.parquet(f"{self.folder}/{name}"), novel_id).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+        weight = F.element_at(F.create_map(*(F.lit(x) for r in asked for x in (r["term"], float(r["w"])))), F.col("term"))
+        key = ["novel_id", "chapter_id", "chapter_index", "paragraph_index"]
+        gain = F.col("idf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = own("terms").join(own("idf"), ["novel_id", "term"]).groupBy(*key).agg(F.sum(gain).alias("score")).where("score > 0")
+        best = scored.withColumn("n", F.row_number().over(Window.partitionBy("novel_id").orderBy(F.round("score", 9).desc(), "chapter_index", "chapter_id", "paragraph_index"))).where(F.col("n") <= 2 * k)
+        found = top(in_range(best, chapter_range).withColumn("score", F.round("score", 6)), k, "novel_id", "chapter_index", "chapter_id", "paragraph_index")
+        texts = self.spark.read.parquet(f"{self.folder}/paragraphs").select("novel_id", "chapter_id", "chapter_title", "paragraph_index", "text")
+        return texts.join(F.broadcast(found), ["novel_id", "chapter_id", "paragraph_index"]).select("novel_id", "chapter_id", "chapter_index", "chapter_title", "paragraph_index", "score", truncate("text", 300).alias("snippet"))  # k rows are broadcast
+
+
 # ---- vectors ------------------------------------------------------------------------------------
 
 
@@ -235,6 +275,55 @@ def rerank(candidates: DataFrame, query: str, scorer, k: int, text_col: str = "s
     return top(rows.withColumn("_by", F.when(failed, F.col("score")).otherwise(F.col("rerank_score"))), k, *ties, score="_by").drop("_by")
 
 
+def hit_indices(hits: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(novel_id, chapter_id, chapter_index): the first index of each chapter that was hit; hits of no chapter vanish."""
+    first = chapters.groupBy("novel_id", "chapter_id").agg(F.min("chapter_index").alias("chapter_index"))
+    return hits.select("novel_id", "chapter_id").distinct().join(first, ["novel_id", "chapter_id"])
+
+
+# ---- by meaning, with vectors of the texts themselves
+
+
+def with_vectors(rows: DataFrame, text_col: str, provider, name: str = "_v", stored: str | None = None) -> DataFrame:
+    """``rows`` with the provider's vector of a text, or the stored one where there is one; texts without a vector are left out."""
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in provider.embed(t)] or None if t else None for t in texts], index=texts.index, dtype=object)
+
+    text = F.col(text_col) if stored is None else F.when(F.coalesce(F.size(stored), F.lit(0)) <= 0, F.col(text_col))
+    vector = embed(text) if stored is None else F.coalesce(F.when(F.size(stored) > 0, F.col(stored).cast("array<double>")), embed(text))
+    return rows.withColumn(name, vector).where(F.size(name) > 0)
+
+
+def novel_by_meaning(novels: DataFrame, query_vector: list[float], k: int = 5, provider=None) -> DataFrame:
+    """(novel_id, title, score, summary, features, characters) by the summary's stored vector, or the provider's where none is stored."""
+    rows = novels.where(F.length("summary") > 0)
+    rows = rows.withColumn("_v", F.col("summary_embedding")).where(F.size("_v") > 0) if provider is None else with_vectors(rows, "summary", provider, stored="summary_embedding")
+    return semantic(rows, "_v", query_vector, k, "novel_id").select("novel_id", "title", "score", truncate("summary", 400).alias("summary"), "features", "characters")
+
+
+def chapter_by_meaning(chapters: DataFrame, query_vector: list[float], k: int = 5, novel_id: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Chapters with content by their stored vector. exclude: as for words."""
+    rows = of_novel(chapters, novel_id).where(F.length("content") > 0)
+    if exclude is not None:
+        rows = rows.join(exclude, [c for c in ("novel_id", "chapter_id") if c in exclude.columns], "left_anti")
+    best = semantic(rows, "embedding", query_vector, k, "novel_id", "chapter_index", "chapter_id")
+    return best.select("novel_id", "chapter_id", F.col("title").alias("chapter_title"), "score", truncate("content", 300).alias("snippet"), F.lit("chapter_content").alias("source"))
+
+
+def paragraph_by_meaning(chapters: DataFrame, query_vector: list[float], provider, k: int = 5, novel_id: str | None = None, chapter_range: tuple[int, int] | None = None, min_len: int = 60) -> DataFrame:
+    """Paragraphs by the provider's vectors of them, made in Arrow batches; every paragraph of the range is embedded."""
+    rows = with_vectors(paragraphs(in_range(of_novel(chapters, novel_id), chapter_range), min_len), "text", provider)
+    best = semantic(rows, "_v", query_vector, k, "novel_id", "chapter_index", "chapter_id", "paragraph_index")
+    return best.select("novel_id", "chapter_id", "chapter_index", "chapter_title", "paragraph_index", "score", truncate("text", 300).alias("snippet"))
+
+
+def plot_by_meaning(plots: DataFrame, query_vector: list[float], provider, k: int = 5, novel_id: str | None = None) -> DataFrame:
+    rows = with_vectors(of_novel(plots, novel_id).where(F.length("summary") > 0), "summary", provider)
+    best = semantic(rows, "_v", query_vector, k, "novel_id", "plot_index")
+    return best.select("novel_id", "plot_index", "volume_title", "start_chapter", "end_chapter", "score", truncate("summary", 500).alias("summary"))
+
+
 def cosine_to(column: str, query_vector: list[float]) -> Column:
     return cosine(column, F.array(*(F.lit(float(x)) for x in query_vector)))
 

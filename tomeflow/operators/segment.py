@@ -18,14 +18,19 @@ def paragraphs_a(text: Column | str, min_len: int = 60) -> Column:
     """Paragraphs for retrieval. Blank lines part blocks; a block of at least min_len stays whole, and each line
     of a shorter one is appended with a space to the paragraph before it, or begins the first."""
     blocks = F.filter(F.transform(F.split(col(text), r"(?U)\n\s*\n"), strip), lambda b: b != "")
-
-    def step(out: Column, block: Column) -> Column:
-        lines = F.array_join(F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != ""), " ")
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), lines)))
-        return F.when(F.length(block) >= min_len, F.concat(out, F.array(block))).when(F.size(out) == 0, F.array(lines)).otherwise(joined)
-
-    # an array is appended to at each step, so short blocks are joined first where runs of them are long
-    return F.aggregate(blocks, F.expr("CAST(array() AS array<string>)"), step)
+    lines = lambda block: F.array_join(F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != ""), " ")
+    one = lambda b: F.when(F.length(b) >= min_len, b).otherwise(lines(b))
+
+    def joined(bound: Column) -> Column:
+        all_, starts = bound["b"], bound["s"]
+        # from one start to the next, so that every block is looked at once
+        part = lambda at, i: F.slice(all_, at + 1, F.coalesce(F.get(starts, i + 1), F.size(all_)) - at)
+        return F.transform(starts, lambda at, i: F.array_join(F.transform(part(at, i), one), " "))
+
+    begins = lambda b: F.filter(F.transform(b, lambda x, i: F.when((i == 0) | (F.length(x) >= min_len), i)), lambda i: i.isNotNull())
+    # an array of one element gives what it holds a name, or each step would split the text again
+    named = F.transform(F.array(blocks), lambda b: F.struct(b.alias("b"), begins(b).alias("s")))
+    return F.when(col(text).isNotNull(), F.element_at(F.transform(named, joined), 1))
 
 
 def paragraphs_b(text: Column | str, min_len: int = 100) -> Column:

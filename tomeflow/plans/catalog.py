@@ -295,6 +295,38 @@ def hybrid_fusion(lib: Library) -> DataFrame:
     return search.fuse(vectors, keywords, key, 20)
 
 
+@query
+def hybrid_paragraphs(lib: Library) -> DataFrame:
+    """Paragraphs' vectors with BM25, as a search of paragraphs does."""
+    key = ["novel_id", "chapter_id", "paragraph_index"]
+    number = F.coalesce(F.try_element_at("metadata", F.lit("paragraph_index")).cast("int"), F.regexp_extract("chunk_id", r"_p(\d+)$", 1).try_cast("int"))
+    rows = lib.chunks.where("size(embedding) = 64 AND content_type = 'paragraph'").withColumn("paragraph_index", number).where("paragraph_index IS NOT NULL")
+    return search.fuse(search.nearest_of_each(rows, "embedding", _probe(lib), key), search.bm25(lib.chapters, TERMS, search.CANDIDATES), key, 20)
+
+
+@query
+def chapter_semantic(lib: Library) -> DataFrame:
+    rows = lib.chapters_with("chapter_index", "title", "content", "embedding").where("size(embedding) = 64")
+    return search.chapter_by_meaning(rows, _probe(lib), 10).select("novel_id", "chapter_id", "score", "snippet")
+
+
+@query
+def hit_indices(lib: Library) -> DataFrame:
+    return search.hit_indices(search.chapter_summary_keyword(lib.summaries, lib.chapters, KEYWORD, 20), lib.chapters_with("chapter_index"))
+
+
+@query
+def export_with_vectors(lib: Library) -> DataFrame:
+    chapters = lib.chapters_with("chapter_index", "title", "content", "metadata", "embedding")
+    return export.export_chunks(lib.novels, chapters, True, True).select("id", "content_type", F.coalesce(F.size("embedding"), F.lit(-1)).alias("n_numbers"))
+
+
+@query
+def error_decisions(lib: Library) -> DataFrame:
+    rows = lib.table("chapter_task_states").select("state_id", F.explode("segment_errors").alias("segment_no", "v"))
+    return rows.select("state_id", "segment_no", T.error_decision("v").alias("d")).select("state_id", "segment_no", "d.action", "d.reason")
+
+
 # ---- audit
 
 

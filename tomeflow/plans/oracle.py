@@ -257,13 +257,29 @@ s_ AS (SELECT novel_id, chapter_id, chapter_index, chapter_title, paragraph_inde
 b_ AS (SELECT * FROM s_ QUALIFY row_number() OVER (PARTITION BY novel_id ORDER BY round(score, 9) DESC, chapter_index, chapter_id, paragraph_index) <= 40)
 SELECT novel_id, chapter_id, chapter_index, chapter_title, paragraph_index, round(score, 6) AS score, substring(text, 1, 300) AS snippet FROM b_ ORDER BY round(score, 6) DESC, novel_id, chapter_index NULLS FIRST, chapter_id, paragraph_index LIMIT 20"""
 
-SQL["hybrid_fusion"] = f"""{ALL}, {_Q}, n_ AS (SELECT novel_id, chapter_id, {cos('embedding')} AS score, row_id FROM chapters WHERE len(embedding) = 64 ORDER BY score DESC, novel_id NULLS FIRST, chapter_id NULLS FIRST, row_id LIMIT 200),
+SQL["hybrid_fusion"] = f"""{ALL}, {_Q}, n_ AS (SELECT novel_id, chapter_id, {cos('embedding')} AS score FROM chapters WHERE len(embedding) = 64),
 v_ AS (SELECT novel_id, chapter_id, max(score) AS score FROM n_ GROUP BY 1, 2 ORDER BY score DESC, novel_id, chapter_id LIMIT 20),
 k_ AS (SELECT novel_id, chapter_id, {kw('content')} AS score FROM chapters_ WHERE score > 0 ORDER BY score DESC, novel_id, chapter_id LIMIT 20)
 SELECT coalesce(v.novel_id, k.novel_id) AS novel_id, coalesce(v.chapter_id, k.chapter_id) AS chapter_id, coalesce(v.score, 0.0) AS vector_score, CAST(coalesce(k.score, 0) AS DOUBLE) AS keyword_score,
   round(0.6 * coalesce(v.score / greatest((SELECT max(score) FROM v_), 0.001), 0) + 0.4 * coalesce(k.score / greatest((SELECT max(score) FROM k_), 0.001), 0), 6) AS score
 FROM v_ v FULL JOIN k_ k ON v.novel_id = k.novel_id AND v.chapter_id = k.chapter_id ORDER BY score DESC, novel_id, chapter_id LIMIT 20"""
 
+_PARTS = "coalesce(TRY_CAST(element_at(metadata, 'paragraph_index')[1] AS INTEGER), TRY_CAST(nullif(regexp_extract(chunk_id, '_p(\\d+)$', 1), '') AS INTEGER))".replace("\\\\", "\\")
+SQL["hybrid_paragraphs"] = f"""WITH {_Q}, k_ AS (SELECT * FROM ({SQL['bm25_topk']})),
+n_ AS (SELECT novel_id, chapter_id, {_PARTS} AS paragraph_index, {cos('embedding')} AS score FROM chunks WHERE len(embedding) = 64 AND content_type = 'paragraph'),
+v_ AS (SELECT novel_id, chapter_id, paragraph_index, max(score) AS score FROM n_ WHERE paragraph_index IS NOT NULL GROUP BY 1, 2, 3 ORDER BY score DESC, novel_id NULLS FIRST, chapter_id NULLS FIRST, paragraph_index LIMIT 20)
+SELECT coalesce(v.novel_id, k.novel_id) AS novel_id, coalesce(v.chapter_id, k.chapter_id) AS chapter_id, coalesce(v.paragraph_index, k.paragraph_index) AS paragraph_index, coalesce(v.score, 0.0) AS vector_score, coalesce(k.score, 0.0) AS keyword_score,
+  round(0.6 * coalesce(v.score / greatest((SELECT max(score) FROM v_), 0.001), 0) + 0.4 * coalesce(k.score / greatest((SELECT max(score) FROM k_), 0.001), 0), 6) AS score
+FROM v_ v FULL JOIN k_ k ON v.novel_id = k.novel_id AND v.chapter_id = k.chapter_id AND v.paragraph_index = k.paragraph_index ORDER BY score DESC, novel_id NULLS FIRST, chapter_id NULLS FIRST, paragraph_index LIMIT 20"""
+SQL["chapter_semantic"] = f"""{ALL}, {_Q} SELECT novel_id, chapter_id, {cos('embedding')} AS score, substring(content, 1, 300) AS snippet FROM chapters_ WHERE length(content) > 0 AND len(embedding) = 64
+ORDER BY score DESC, novel_id, chapter_index NULLS FIRST, chapter_id LIMIT 10"""
+SQL["hit_indices"] = f"""{ALL}, h_ AS (SELECT novel_id, chapter_id, {kw('summary')} AS score, item_pos FROM summaries_ WHERE length(summary) > 0 AND score > 0 ORDER BY score DESC, novel_id, chapter_id, item_pos LIMIT 20)
+SELECT novel_id, chapter_id, min(chapter_index) AS chapter_index FROM chapters_ WHERE (novel_id, chapter_id) IN (SELECT (novel_id, chapter_id) FROM h_) GROUP BY 1, 2"""
+SQL["export_with_vectors"] = f"""{ALL} SELECT novel_id || ':summary' AS id, 'novel_summary' AS content_type, CAST(coalesce(len(summary_embedding), -1) AS INTEGER) AS n_numbers FROM novels_
+UNION ALL SELECT c.novel_id || ':' || c.chapter_id, 'chapter', CAST(coalesce(len(c.embedding), -1) AS INTEGER) FROM chapters_ c JOIN novels_ n ON n.novel_id = c.novel_id"""
+_KINDS = [("quota_exhausted", "disable", ["allocationquota", "quota", "insufficient"]), ("upstream_5xx", "throttle", ["502", "503", "504", "bad gateway", "cloudflare"]), ("rate_limited", "throttle", ["429", "rate limit", "too many requests"]), ("network_error", "throttle", ["timeout", "timed out", "connection"])]
+SQL["error_decisions"] = "WITH e AS (SELECT state_id, unnest(map_keys(segment_errors)) AS segment_no, lower(coalesce(unnest(map_values(segment_errors)), '')) AS v FROM chapter_task_states) SELECT state_id, segment_no, CASE " + " ".join(f"WHEN {any_of('v', w)} THEN '{a}'" for _, a, w in _KINDS) + " END AS action, CASE " + " ".join(f"WHEN {any_of('v', w)} THEN '{r}'" for r, _, w in _KINDS) + " END AS reason FROM e"
+
 _NORM = f"lower(regexp_replace(summary, '{WS}+', '', 'g'))"
 _PATTERN = " OR ".join(f"regexp_matches(summary, '(?i){p.replace(chr(92) + 's', WS)}')" for p in PATTERNS)
 # RE2 has no references back, so a character's run of nine is looked for by comparing neighbours
