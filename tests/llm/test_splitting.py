@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tomeflow.llm.splitting import split_files, split_items
+from tomeflow.llm.splitting import spill_items, split_files, split_items
 
 
 def text(seed, n):
@@ -67,3 +67,26 @@ def test_overlap_must_be_smaller(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, body string, most int, lap int")
     assert split_items(df, ["id"], "body", "most", "lap").count() == 0
+
+
+def test_long_values_as_files_have_the_same_text(spark, tmp_path):
+    texts = {i: text(200 + i, 2000).replace("\r", "") for i in range(3)}
+    df = spark.createDataFrame([*texts.items(), (9, None)], "id long, body string")
+    paths = {r.id: r.path for r in spill_items(df, ["id"], "body", str(tmp_path)).collect()}
+    rows = split_files(spark, list(paths.values()), 60, 8, range_bytes=960).collect()
+    for i, t in texts.items():
+        checked([m[1:] for m in sorted((r.piece_no, r.start, r.piece) for r in rows if r.path == paths[i])], t, 60, 8)
+    assert [r.piece for r in rows if r.path == paths[9]] == [""]
+
+
+def test_time_grows_with_the_length(spark):
+    import time
+
+    unit = text(7, 40_000)
+    took = []
+    for n in (8, 32):
+        df = spark.createDataFrame([(1, unit * n, 1000, 100)], "id long, body string, most int, lap int")
+        began = time.time()
+        assert split_items(df, ["id"], "body", "most", "lap").count() > 40 * n
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0] + 3

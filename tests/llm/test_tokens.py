@@ -24,17 +24,47 @@ def test_ids_equal_one_pass_and_decode(spark):
     assert counts == sorted((i, len(x)) for i, x in want)
 
 
-def test_stitch_against_one_pass():
+def test_pieces_against_one_pass(spark):
+    """Pieces at pre-token boundaries whatever the chunks, endless runs and repeats of them included."""
     rng = random.Random(1)
     parts = ["a", "b", " ", "\n", "'", "'s", "'ll", "1", "中", "。", "é", "  "]
     one = tokens.encoder().encode_ordinary
-    for _ in range(1500):
-        s = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
-        step, lap = rng.randint(2, 20), rng.randint(4, 16)
-        chunks = [s[i * step : i * step + step + lap] for i in range((len(s) - 1) // step + 1)]
-        pieces = tokens.stitch(chunks, [tokens.boundaries(c, i * step + len(c) >= len(s)) for i, c in enumerate(chunks)], step)
-        assert "".join(pieces) == s
-        assert [x for p in pieces for x in one(p)] == one(s)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(30, 400))) for _ in range(120)]
+    texts += [" " * 90 + "x", "a" * 95 + " b" * 40 + "c" * 95, "'s" * 90, " " * 50 + "a" * 60 + " " * 70 + "1" * 50, "\n" * 200, ("z" * 45 + " ") * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    for step, lap in ((20, 8), (31, 16)):
+        found: dict = {}
+        for r in tokens.long_pieces(df, step, lap).collect():
+            found.setdefault(r.key, []).append((r.piece_no, r.piece))
+        for i, t in enumerate(texts):
+            pieces = [p for _, p in sorted(found[i])]
+            assert "".join(pieces) == t
+            assert [x for p in pieces for x in one(p)] == one(t)
+    assert tokens.long_pieces(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        tokens.long_pieces(df, 10, 10)
+
+
+def test_no_task_gets_a_long_text(spark):
+    """All pieces are as short as chunks, and their sizes say that none was gathered."""
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word ", "中文。", "it's ", "\n"]) for _ in range(60_000))
+    rows = tokens.long_pieces(spark.createDataFrame([(1, text)], "key long, text string"), 4096, 256).collect()
+    assert len(rows) > len(text) // 4096 and max(len(r.piece) for r in rows) <= 4096 + 512
+
+
+def test_time_grows_with_the_length(spark):
+    import time
+
+    rng = random.Random(4)
+    unit = "".join(rng.choice(["word ", "中文。", "it's ", "\n"]) for _ in range(50_000))
+    took = []
+    for n in (8, 32):
+        df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        began = time.time()
+        assert tokens.token_counts(df, "doc_id", "text").first().n_tokens > 0
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0] + 3
 
 
 def test_best_fit(spark):

@@ -110,3 +110,20 @@ def p8_fill(spark, sf_dir: str) -> DataFrame:
     capacity = capacity_of(spark.read.parquet(f"{sf_dir}/size_limits.parquet"), "document")
     used = p8_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
     return used.agg(F.count("*").alias("containers"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * capacity), 6).alias("share_used"))
+
+
+def p8_check(spark, sf_dir: str) -> DataFrame:
+    """One row: the documents, those that no part names, parts of documents that needn't be split, and containers above the capacity."""
+    capacity = capacity_of(spark.read.parquet(f"{sf_dir}/size_limits.parquet"), "document")
+    rows = p8_containers(spark, sf_dir)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    split = rows.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
+    full = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    needless = split.agg(F.sum((F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity))).cast("bigint")).alias("needless"))
+    missing = documents.join(split, "doc_id", "left").agg(F.count("*").alias("documents"), F.sum(F.col("parts").isNull().cast("bigint")).alias("missing"))
+    over = full.agg(F.sum((F.col("used") > capacity).cast("bigint")).alias("over"))
+    rows = missing.unionByName(needless, True).unionByName(over, True)  # one row each
+    return rows.agg(*(F.coalesce(F.max(c), F.lit(0).cast("bigint")).alias(c) for c in ("documents", "missing", "needless", "over")))
+
+
+P8_CHECK_SQL = "SELECT count(*) AS documents, 0::BIGINT AS missing, 0::BIGINT AS needless, 0::BIGINT AS over FROM documents"

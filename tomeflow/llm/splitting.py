@@ -6,9 +6,12 @@ boundaries nearest to its own start and to the next range's. Anchors are found i
 neighbours agree on them without talking to each other, and the pieces between two anchors are cut
 in one task however long the item is. What ties the ranges together is a small table: the ranges'
 piece counts (and, for byte ranges of files, their numbers of characters), of which prefix sums
-give every piece its number and its offset. ``split_items``, which the queries use, takes ranges of
-code points of column values, each of which its row's task has loaded whole; only ``split_files``,
-which reads byte ranges, holds no whole item in a task.
+give every piece its number and its offset.
+
+``split_items``, which the queries use, takes values of a column: an item of one range is cut where it
+was read; a longer one, which only the task that reads its row holds whole, is walked through once into
+ranges that go to tasks of their own. ``split_files`` reads byte ranges of files, so that no task holds
+an item; with ``spill_items`` the longest values of a column can be made such files first.
 
 Within a range, a piece ends at the last paragraph end in reach, if that fills at least half of the
 limit, else at the last sentence end that does, else at the last boundary of any kind in reach;
@@ -90,26 +93,31 @@ def halo(max_size: int, overlap: int) -> int:
 def split_items(items: DataFrame, keys: list[str], text_col: str, max_col: str, overlap_col: str, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(keys, n_chars, piece_no, start, piece): pieces in order. ``keys`` together are unique and not null for items longer than a range."""
     rows = items.select(*keys, F.col(text_col).alias("text"), F.length(text_col).alias("n_chars"), F.col(max_col).cast("int").alias("max_size"), F.col(overlap_col).cast("int").alias("overlap"))
-    side = F.col("max_size") + F.col("overlap") + 64
     step = F.greatest(F.lit(range_chars), 4 * F.col("max_size"))  # a range is several times an anchor's reach
-    n_ranges = F.greatest(F.lit(1), F.ceil(F.coalesce("n_chars", F.lit(0)) / step)).cast("int")
-    ranges = rows.select(
-        *keys, "n_chars", "max_size", "overlap", step.alias("step"),
-        F.explode(F.transform(
-            F.sequence(F.lit(0), n_ranges - 1),
-            lambda i: F.struct(i.alias("range_no"), F.greatest(F.lit(0), i * step - side).alias("base"),
-                               F.substring(F.col("text"), F.greatest(F.lit(0), i * step - side) + 1, step + 2 * side).alias("text")),
-        )).alias("r"),
-    ).select(*keys, "n_chars", "max_size", "overlap", "step", "r.*")
+    rows = rows.withColumn("step", F.coalesce(step, F.lit(range_chars)))
+    one = F.coalesce(F.col("n_chars") <= F.col("step"), F.lit(True))
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "n_chars int", "step int", "range_no int", "in_range int", "start bigint", "piece string"])
+    own = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-    def cut(batches: Iterator) -> Iterator:
+    def table_of(pdf, index, out, columns, kept):
         import pandas as pd
 
+        table = pdf[kept].iloc[index].reset_index(drop=True)
+        return pd.concat([table, pd.DataFrame(out, columns=columns, index=table.index)], axis=1)
+
+    def ranged(batches: Iterator) -> Iterator:
+        """The ranges of long items, each with its halo."""
+        for pdf in batches:
+            for i, (text, size, lap, step) in enumerate(zip(pdf["text"], pdf["max_size"], pdf["overlap"], pdf["step"])):
+                side = halo(size, lap)
+                out = [(no, max(0, no * step - side), text[max(0, no * step - side) : (no + 1) * step + side]) for no in range(-(-len(text) // step))]
+                yield table_of(pdf, [i] * len(out), out, ["range_no", "base", "text"], [*keys, "n_chars", "max_size", "overlap", "step"])
+
+    def cut(batches: Iterator) -> Iterator:
         for pdf in batches:
             index, out = [], []
-            for i, (text, n, size, lap, step, no, base) in enumerate(zip(*(pdf[c] for c in ("text", "n_chars", "max_size", "overlap", "step", "range_no", "base")))):
+            numbers = (pdf["range_no"], pdf["base"]) if "range_no" in pdf else ([0] * len(pdf), [0] * len(pdf))
+            for i, (text, n, size, lap, step, no, base) in enumerate(zip(*(pdf[c] for c in ("text", "n_chars", "max_size", "overlap", "step")), *numbers)):
                 if text is None or not text or n <= size:
                     found = [(0, 0 if text is None else len(text))]
                 else:
@@ -119,20 +127,39 @@ def split_items(items: DataFrame, keys: list[str], text_col: str, max_col: str,
                 for j, (a, b) in enumerate(found):
                     index.append(i)
                     out.append((j, base + a, None if text is None else text[a:b]))
-            table = pdf[[*keys, "n_chars", "step", "range_no"]].iloc[index].reset_index(drop=True)
-            yield pd.concat([table, pd.DataFrame(out, columns=["in_range", "start", "piece"], index=table.index)], axis=1)
+            yield table_of(pdf, index, out, ["in_range", "start", "piece"], [*keys, "n_chars", *(["range_no"] if "range_no" in pdf else [])])
 
-    pieces = ranges.mapInPandas(cut, schema)
-    one = F.coalesce(F.col("n_chars") <= F.col("step"), F.lit(True))
-    short = pieces.where(one).withColumn("piece_no", F.col("in_range"))
-    long = pieces.where(~one)
+    columns = [*keys, "n_chars", "piece_no", "start", "piece"]
+    short = rows.where(one).mapInPandas(cut, f"{own}, n_chars int, in_range int, start bigint, piece string").withColumn("piece_no", F.col("in_range"))
+    ranges = rows.where(~one).mapInPandas(ranged, f"{own}, n_chars int, max_size int, overlap int, step int, range_no int, base bigint, text string").repartition(*keys, "range_no")
+    long = ranges.mapInPandas(cut, f"{own}, n_chars int, range_no int, in_range int, start bigint, piece string")
     # prefix sums of the ranges' piece counts number the pieces of an item that has several ranges
     counts = long.groupBy(*keys, "range_no").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     long = long.join(counts, [*keys, "range_no"]).withColumn("piece_no", (F.col("before") + F.col("in_range")).cast("int"))
-    columns = [*keys, "n_chars", "piece_no", "start", "piece"]
     return short.select(columns).unionByName(long.select(columns))
 
 
+def spill_items(items: DataFrame, keys: list[str], text_col: str, folder: str) -> DataFrame:
+    """(keys, path): each item's text as a UTF-8 file in a folder that all workers see, for ``split_files``. A null text is an empty file."""
+    types = dict(items.dtypes)
+
+    def write(batches: Iterator) -> Iterator:
+        import hashlib
+        import os
+
+        for pdf in batches:
+            paths = []
+            for *key, text in zip(*(pdf[k] for k in keys), pdf[text_col]):
+                path = f"{folder}/{hashlib.blake2b(repr(key).encode(), digest_size=16).hexdigest()}.txt"
+                with open(f"{path}.{os.getpid()}", "w", encoding="utf-8", errors="replace", newline="") as f:
+                    f.write(text or "")
+                os.replace(f"{path}.{os.getpid()}", path)  # a task that runs twice writes the same file
+                paths.append(path)
+            yield pdf[keys].assign(path=paths)
+
+    return items.select(*keys, text_col).mapInPandas(write, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", path string")
+
+
 def split_files(spark: SparkSession, paths: list[str], max_size: int, overlap: int, range_bytes: int = 1 << 20) -> DataFrame:
     """(path, piece_no, start, piece): pieces of UTF-8 files on a file system that all workers see, read by byte ranges.
 
@@ -196,6 +223,21 @@ def p4_pieces(spark, sf_dir: str) -> DataFrame:
     return split_items(corpus_items(spark, sf_dir), ITEM, "text", "max_size", "overlap_size")
 
 
+def p4_whole(spark, sf_dir: str) -> DataFrame:
+    """(item_kind, item_id, item_pos, n_chars, within, overlapping, rebuilt): for each item, whether its pieces keep the limit and the
+    overlap, and the hash of what they give without what they repeat. Pieces are joined by item here, as in the check of a result."""
+    items = corpus_items(spark, sf_dir).select(*ITEM, "max_size", "overlap_size")
+    own = F.substring("piece", F.col("skip") + 1, F.length("piece") - F.col("skip"))
+    before = F.lag(F.col("start") + F.length("piece"), 1, 0).over(Window.partitionBy(*ITEM).orderBy("piece_no"))
+    rows = p4_pieces(spark, sf_dir).join(items, ITEM).withColumn("skip", (before - F.col("start")).cast("int")).withColumn("own", own)
+    per = rows.groupBy(*ITEM).agg(
+        F.max("n_chars").cast("bigint").alias("n_chars"), F.min(F.length("piece") <= F.col("max_size")).alias("within"),
+        F.min(F.col("skip") == F.when(F.col("piece_no") == 0, 0).otherwise(F.least(F.col("overlap_size"), F.col("start") + F.col("skip")))).alias("overlapping"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "").cast("binary")).alias("rebuilt"),
+    )
+    return per
+
+
 def p4_found(spark, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where(F.col("piece_no") == 1).select(ITEM)
 
@@ -209,3 +251,5 @@ WITH items AS (
 SELECT item_kind, item_id, item_pos FROM items JOIN (SELECT item_kind, min(max_size) AS max_size FROM size_limits GROUP BY item_kind) USING (item_kind)
 WHERE length(text) > max_size
 """
+
+P4_WHOLE_SQL = P4_FOUND_SQL.replace("SELECT item_kind, item_id, item_pos FROM items", "SELECT item_kind, item_id, item_pos, length(text) AS n_chars, true AS within, true AS overlapping, md5(text) AS rebuilt FROM items")

@@ -1,11 +1,16 @@
 """Problem 7: encoding of a whole corpus with a public byte-level BPE.
 
 A text up to ``chunk_chars`` code points is encoded where it was read, without a shuffle. A longer
-one is cut into overlapping chunks; the chunks are pre-tokenised in parallel, neighbours are
-stitched at the first position of their overlap that is a pre-token boundary in both, and the
-pieces between the stitches are encoded in parallel and put in order again. From a common boundary
-on, two scans of the pre-tokeniser agree, so the ids are those of one pass over the whole text.
-Where an overlap has no common boundary (one endless run), the neighbours are scanned again as one.
+one is walked through once, into overlapping chunks that are pre-tokenised in parallel. Neighbours are
+stitched at the first position of their overlap that is a pre-token boundary in both; to find it, only
+the overlaps' boundaries meet, pair by pair. From a common boundary on, two scans of the pre-tokeniser
+agree, so the pieces between the stitches, cut by their offsets and encoded in parallel, have the ids of
+one pass over the whole text. No task gets a long text's chunks, boundaries or ids together, but for the
+last step of ``token_ids``, whose result is one row for each text (``token_counts`` adds up numbers).
+
+Where an overlap has no common boundary (one endless run), the chunks around it are scanned as one, from
+the stitch before them, and the stitch after them is set anew by that scan, until nothing changes. What
+is gathered then is as long as the run, which is one pre-token and can't be encoded in parts.
 
 Null and empty texts have an empty list of ids. Special tokens are ordinary text. Repeated rows
 give repeated results.
@@ -18,7 +23,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tomeflow.session import checkpointed
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 512
@@ -82,57 +89,99 @@ def _encoded(df: DataFrame, schema: str, path: str, counts: bool) -> DataFrame:
     return df.mapInArrow(lambda rows: _batches(rows, path, counts), schema)
 
 
-def stitch(chunks: list[str], heads: list[list[int]], step: int) -> list[str]:
-    """Pieces of a text that start and end at its own pre-token boundaries.
+def cut_chunks(text: str, step: int, overlap: int) -> Iterator[tuple[int, str, bool]]:
+    """(number, chunk, whether the text ends with it) of chunks that begin ``step`` apart, in one walk."""
+    for no, at in enumerate(range(0, len(text), step)):
+        yield no, text[at : at + step + overlap], at + step + overlap >= len(text)
 
-    chunks: texts of the chunks, which begin ``step`` apart; heads: the sure boundaries of each,
-    as positions in the chunk.
-    """
-    pieces: list[str] = []
-    text, start, sure = chunks[0], 0, heads[0]  # text from start on, not yet given out
-    for i in range(1, len(chunks)):
-        begin = i * step
-        here = {0, *heads[i]}
-        common = next((p for p in sure if p + start >= begin and p + start - begin in here), None)
-        if common is None:
-            text += chunks[i][max(0, start + len(text) - begin) :]
-            sure = boundaries(text, i == len(chunks) - 1)
-            continue
-        if common:
-            pieces.append(text[:common])
-        cut = start + common - begin
-        text, start, sure = chunks[i][cut:], begin + cut, [p - cut for p in heads[i] if p >= cut]
-    return [*pieces, text]
-
-
-def _pre_tokenised(rows: Iterator) -> Iterator:
-    for pdf in rows:
-        yield pdf.assign(ends=[boundaries(t, last) for t, last in zip(pdf["chunk"], pdf["last"])]).drop(columns="last")
 
+def ends_of(chunk: str, last: bool, step: int, overlap: int) -> tuple[list[int], list[int]]:
+    """(boundaries in the overlap with the chunk before, its start included; those in the overlap with the next one, from its start)."""
+    found = boundaries(chunk, last)
+    return [0, *(e for e in found if e <= overlap)], [e - step for e in found if step <= e <= step + overlap]
 
-def long_pieces(df: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(key, text) -> (key, piece_no, piece): the chunked, pre-tokenised and stitched long texts. key is unique."""
-    chunks = df.select(
-        "key",
-        F.length("text").alias("n"),
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")),
-                lambda i: F.substring(F.col("text"), i * chunk_chars + 1, F.lit(chunk_chars + overlap)),
-            )
-        ).alias("chunk_no", "chunk"),
-    ).select("key", "chunk_no", "chunk", (F.col("chunk_no") * chunk_chars + F.length("chunk") >= F.col("n")).alias("last"))
-    key = df.schema["key"].dataType.simpleString()
-    tokenised = chunks.repartition("key", "chunk_no").mapInPandas(_pre_tokenised, f"key {key}, chunk_no int, chunk string, ends array<int>")
-
-    def stitched(group):
+
+def joined_chunks(chunks: list[str], step: int) -> str:
+    return "".join([*(c[:step] for c in chunks[:-1]), chunks[-1]])
+
+
+def _chunked(step: int, overlap: int, key: str):
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            for at, text in zip(range(len(pdf)), pdf["text"]):  # a frame for each text, so that no batch holds several long ones
+                rows = list(cut_chunks(text, step, overlap))
+                yield pd.concat([pdf[["key"]].iloc[[at] * len(rows)].reset_index(drop=True), pd.DataFrame(rows, columns=["chunk_no", "chunk", "last"])], axis=1)
+
+    return run, f"key {key}, chunk_no int, chunk string, last boolean"
+
+
+def _pre_tokenised(step: int, overlap: int):
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [ends_of(c, last, step, overlap) for c, last in zip(pdf["chunk"], pdf["last"])]
+            yield pd.concat([pdf, pd.DataFrame(rows, columns=["head", "tail"], index=pdf.index)], axis=1)
+
+    return run
+
+
+def stitched(parts: DataFrame, step: int) -> DataFrame:
+    """(key, chunk_no, at, piece_no, next_at, n, ends, more): for each chunk where its own part begins, the number of its piece,
+    how many chunks that has, whether it is the piece's last, and whether a chunk follows. parts: (key, chunk_no, chunk, last, head, tail)."""
+    after = parts.select("key", (F.col("chunk_no") + 1).alias("chunk_no"), "tail")
+    links = parts.select("key", "chunk_no", "head").join(after, ["key", "chunk_no"], "left")
+    at = F.when(F.col("chunk_no") == 0, 0).otherwise(F.get(F.array_intersect("tail", "head"), F.lit(0)))
+    links = checkpointed(links.select("key", "chunk_no", at.alias("at")))
+    key = parts.schema["key"].dataType.simpleString()
+
+    def again(group):
+        """The stitch after a group of chunks, by a scan from the group's own first stitch."""
         import pandas as pd
 
         group = group.sort_values("chunk_no")
-        pieces = stitch(list(group["chunk"]), [list(e) for e in group["ends"]], chunk_chars)
-        return pd.DataFrame({"key": [group["key"].iloc[0]] * len(pieces), "piece_no": range(len(pieces)), "piece": pieces})
+        chunks, end = list(group["chunk"]), group.iloc[-1]
+        if end["next_head"] is None:
+            return pd.DataFrame({"key": pd.Series([], dtype=object), "chunk_no": pd.Series([], dtype="int32"), "new": pd.Series([], dtype="Int64")})
+        first = int(group["at"].iloc[0])
+        text = joined_chunks(chunks, step)[first:]
+        true = (e + first - len(chunks) * step for e in boundaries(text, bool(end["last"])))
+        heads = set(int(x) for x in end["next_head"])
+        new = next((e for e in true if e in heads), None)
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "chunk_no": [int(end["chunk_no"]) + 1], "new": pd.array([new], dtype="Int64")})
+
+    while True:
+        whole = Window.partitionBy("key").orderBy("chunk_no")
+        numbered = links.withColumn("piece_no", F.count("at").over(whole) - 1).withColumn("next_piece", F.lead("piece_no").over(whole)).withColumn("next_at", F.lead("at").over(whole))
+        numbered = numbered.withColumn("n", F.count("*").over(Window.partitionBy("key", "piece_no")))
+        joint = numbered.where("n > 1")
+        if joint.isEmpty():
+            break
+        heads = parts.select("key", (F.col("chunk_no") - 1).alias("chunk_no"), F.col("head").alias("next_head"))
+        rows = joint.join(parts.select("key", "chunk_no", "chunk", "last"), ["key", "chunk_no"]).join(heads, ["key", "chunk_no"], "left").select("key", "piece_no", "chunk_no", "at", "chunk", "last", "next_head")
+        found = rows.groupBy("key", "piece_no").applyInPandas(again, f"key {key}, chunk_no int, new bigint")
+        changed = checkpointed(links.join(found, ["key", "chunk_no"]).where(~F.col("at").eqNullSafe(F.col("new").cast("int"))).select("key", "chunk_no", F.col("new").cast("int").alias("new")))
+        if changed.isEmpty():
+            break
+        links = checkpointed(links.join(changed.withColumn("is_new", F.lit(True)), ["key", "chunk_no"], "left").select("key", "chunk_no", F.when(F.col("is_new"), F.col("new")).otherwise(F.col("at")).alias("at")))
+    more = F.col("next_piece").isNotNull()
+    return numbered.select("key", "chunk_no", "at", "piece_no", "next_at", "n", (~more | (F.col("next_piece") != F.col("piece_no"))).alias("ends"), more.alias("more"))
+
 
-    return tokenised.groupBy("key").applyInPandas(stitched, f"key {key}, piece_no int, piece string")
+def long_pieces(df: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """(key, text) -> (key, piece_no, piece): the chunked, pre-tokenised and stitched long texts. key is unique."""
+    if not LOOKAHEAD < overlap < chunk_chars:
+        raise ValueError("the overlap must be shorter than a chunk, and longer than a boundary's look ahead")
+    run, schema = _chunked(chunk_chars, overlap, df.schema["key"].dataType.simpleString())
+    chunks = df.select("key", "text").mapInPandas(run, schema).repartition("key", "chunk_no")
+    parts = checkpointed(chunks.mapInPandas(_pre_tokenised(chunk_chars, overlap), f"{schema}, head array<int>, tail array<int>"))
+    first = F.coalesce(F.col("at"), F.lit(0))
+    stop = F.when(~F.col("ends"), F.lit(chunk_chars)).when(F.col("more"), F.lit(chunk_chars) + F.col("next_at")).otherwise(F.length("chunk"))
+    cut = stitched(parts, chunk_chars).join(parts.select("key", "chunk_no", "chunk"), ["key", "chunk_no"]).select("key", "piece_no", "chunk_no", "n", F.substring("chunk", first + 1, F.greatest(F.lit(0), stop - first)).alias("piece"))
+    joint = cut.where("n > 1").groupBy("key", "piece_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "piece"))), lambda x: x["piece"]), "").alias("piece"))
+    return cut.where("n = 1").select("key", "piece_no", "piece").unionByName(joint)
 
 
 def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER_FILE, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
@@ -154,7 +203,7 @@ def _tokens(df: DataFrame, id_col: str, text_col: str, path: str, chunk_chars: i
     # ids can be null or repeated, so a long text's key is its place in the scan, which is the same in every attempt of a task
     keyed = rows.where(is_long).select(F.struct("id", F.monotonically_increasing_id().alias("at")).alias("key"), "text")
     pieces = long_pieces(keyed, chunk_chars, overlap).repartition("key", "piece_no")
-    encoded = _encoded(pieces, f"key struct<id:{kind},at:bigint>, piece_no int, {result}", path, counts)
+    encoded = _encoded(pieces, f"key struct<id:{kind},at:bigint>, piece_no bigint, {result}", path, counts)
     if counts:
         whole = encoded.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"))
     else:
