@@ -24,9 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tomeflow.session import checkpointed
+
 DIM = 64
 PART_ROWS, MAX_PARTS, MAX_SAMPLE, SAMPLE_PER_PART = 2048, 1024, 32_768, 48
 BLOCK = 4096
+TASK_ROWS = 1 << 15
 NEIGHBOURS, EPOCHS, SEED = 10, 40, 5
 COVER_PAIRS, COVER_TOP = 0.995, 0.95
 
@@ -191,6 +194,7 @@ def fitted(vectors: DataFrame, dim: int = DIM, part_rows: int = PART_ROWS) -> tu
     want = min(MAX_SAMPLE, max(8192, SAMPLE_PER_PART * parts))
     rows = vectors.select("v") if n <= want else vectors.select("v").sample(False, min(1.0, 1.05 * want / n), SEED).limit(want)
     sample = _rows([r[0] for r in rows.collect()], dim) if n else np.zeros((0, dim), np.float32)
+    sample = sample[np.random.default_rng(SEED).permutation(len(sample))]  # what is measured on a part of it must not follow the scan
     return fit_router(sample, parts) if len(sample) else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32)), sample, n
 
 
@@ -214,16 +218,42 @@ def routed(vectors: DataFrame, router: Router, probes: int, base_only: bool = Fa
     return vectors.mapInArrow(route, "part int, rank int, id bigint, v binary")
 
 
+def _block_table(sizes: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """((part, base_blocks, query_blocks), rows that the block pairs have together) of (part, n_base, n_query). One row for each of at most MAX_PARTS parts."""
+    count = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / block)).cast("int")
+    table = checkpointed(sizes.select("*", count("n_base").alias("base_blocks"), count("n_query").alias("query_blocks")))
+    rows = table.agg(F.sum(F.coalesce("n_base", F.lit(0)) * F.col("query_blocks") + F.coalesce("n_query", F.lit(0)) * F.col("base_blocks"))).first()[0] or 0
+    return F.broadcast(table.select("part", "base_blocks", "query_blocks")), int(rows)
+
+
+def _entries(is_query: bool) -> F.Column:
+    """Where a vector goes: to one block of its own kind, paired with each of the other's."""
+    own, other = ("query_blocks", "base_blocks") if is_query else ("base_blocks", "query_blocks")
+    at = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+    place = (lambda i: (i, at)) if is_query else (lambda i: (at, i))
+    return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.struct(place(i)[0].alias("base_block"), place(i)[1].alias("query_block"), F.lit(is_query).alias("is_query")))
+
+
+def _placed(rows: DataFrame, blocks: DataFrame, entries: F.Column) -> DataFrame:
+    return rows.join(blocks, "part").select("part", "id", "v", F.explode(entries).alias("e")).select("part", "e.*", "id", "v")
+
+
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """By block pair, into as many partitions as the table of blocks says: a task has about TASK_ROWS rows however many there are in all."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), "part", "base_block", "query_block")
+
+
 def _blocked(base: DataFrame, queries: DataFrame, block: int) -> DataFrame:
     """(part, base_block, query_block, is_query, id, v): base blocks and query blocks of each part, each with each."""
     sizes = base.groupBy("part").agg(F.count("*").alias("n_base")).join(queries.groupBy("part").agg(F.count("*").alias("n_query")), "part", "full")
-    # one row for each of at most MAX_PARTS parts
-    blocks = F.broadcast(sizes.select("part", *(F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / block)).cast("int").alias(b) for c, b in (("n_base", "base_blocks"), ("n_query", "query_blocks")))))
-    spread = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    b = base.join(blocks, "part").select("part", spread("base_blocks").alias("base_block"), all_of("query_blocks").alias("query_block"), F.lit(False).alias("is_query"), "id", "v")
-    q = queries.join(blocks, "part").select("part", all_of("base_blocks").alias("base_block"), spread("query_blocks").alias("query_block"), F.lit(True).alias("is_query"), "id", "v")
-    return b.unionByName(q)
+    blocks, n = _block_table(sizes, block)
+    return _spread(_placed(base, blocks, _entries(False)).unionByName(_placed(queries, blocks, _entries(True))), n)
+
+
+def _blocked_among_themselves(routed_rows: DataFrame, block: int) -> DataFrame:
+    """As ``_blocked``, of vectors that are base rows in their home (rank 0) and queries in all their parts; routed once for the sizes and once for the rows."""
+    blocks, n = _block_table(routed_rows.groupBy("part").agg(F.sum((F.col("rank") == 0).cast("bigint")).alias("n_base"), F.count("*").alias("n_query")), block)
+    return _spread(_placed(routed_rows, blocks, F.when(F.col("rank") == 0, F.concat(_entries(False), _entries(True))).otherwise(_entries(True))), n)
 
 
 def pairs_above(vectors: DataFrame, least: float, dim: int = DIM, block: int = BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
@@ -250,11 +280,7 @@ def pairs_above(vectors: DataFrame, least: float, dim: int = DIM, block: int = B
         both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"vec_a": both[:, 0], "vec_b": both[:, 1]})
 
-    if probes == 1 and router.parts == 1:
-        base = everywhere
-    else:
-        base = everywhere.where("rank = 0")
-    rows = _blocked(base.drop("rank"), everywhere.drop("rank"), block)
+    rows = _blocked_among_themselves(everywhere, block)
     return rows.groupBy("part", "base_block", "query_block").applyInPandas(found, "vec_a bigint, vec_b bigint").distinct()
 
 
