@@ -26,6 +26,7 @@ ORACLE: dict[str, str] = {
     "p4_found": splitting.P4_FOUND_SQL,
     "p4_whole": splitting.P4_WHOLE_SQL,
     "p8_check": packing.P8_CHECK_SQL,
+    "p5_found": neighbours.P5_FOUND_SQL,
     "p6_found": repeated_lines.P6_FOUND_SQL,
     "p6_clean": repeated_lines.P6_CLEAN_SQL,
 }

@@ -326,3 +326,11 @@ def p5_top10(spark, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector whose id is divisible by 100, against all vectors."""
     vectors = collection(spark, sf_dir)
     return top_neighbours(vectors, vectors.where("id % 100 = 0"), 10)
+
+
+P5_FOUND_SQL = """
+WITH v AS (SELECT vec_id, CAST(e AS DOUBLE[64]) AS e FROM (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM chunks UNION ALL SELECT vec_id, embedding FROM chapters)
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE array_cosine_similarity(a.e, b.e) >= 0.9 - 1e-7
+"""
