@@ -61,7 +61,7 @@ def comprehensive(lib: Library, question: str, query: str, novel_id: str | None
     if recall and kind == "listing":
         paras = with_recall(paras, keyword_recall(lib, recall, novel_id))
     parts = [
-        _leveled("overview", search.of_novel(novels_for(lib, query, k), novel_id), "summary", CAPS["overview"]),
+        _leveled("overview", search.top(search.of_novel(novels_for(lib, query, k), novel_id), CAPS["overview"], "novel_id"), "summary", CAPS["overview"]),
         _leveled("plot", search.plot_keyword(lib.plots, query, k, novel_id), "summary", CAPS["plot"]),
         _leveled("chapter", chapters_for(lib, query, k, novel_id), "snippet", CAPS["chapter"]),
         _leveled("paragraph", paras, "snippet", CAPS["paragraph"]),
@@ -82,8 +82,10 @@ PARAGRAPH = ["novel_id", "chapter_id", "paragraph_index"]
 
 
 def with_recall(found: DataFrame, more: DataFrame) -> DataFrame:
-    """``found``, then the paragraphs of ``more`` that it doesn't have."""
-    return found.unionByName(more.join(found.select(*PARAGRAPH), PARAGRAPH, "left_anti").select(*found.columns))
+    """``found``, then the paragraphs of ``more`` that it doesn't have, each by score."""
+    rest = more.join(found.select(*PARAGRAPH), PARAGRAPH, "left_anti").select(*found.columns)
+    both = found.withColumn("_stage", F.lit(1)).unionByName(rest.withColumn("_stage", F.lit(2)))
+    return both.orderBy("_stage", F.col("score").desc(), "novel_id", "chapter_index", "chapter_id", "paragraph_index").drop("_stage")
 
 
 def keyword_recall(lib: Library, keywords: list[str], novel_id: str | None = None, k: int = 20) -> DataFrame:
@@ -108,7 +110,7 @@ def rewritten(lib: Library, queries: list[str], novel_id: str | None = None, k:
     for q in [q for q in queries if q][:5]:
         one = chapters_for(lib, q, k, novel_id, True).select("novel_id", "chapter_id", "score", "snippet")
         chaps = one if chaps is None else chaps.unionByName(one)
-    best = chaps.groupBy("novel_id", "chapter_id").agg(F.max("score").alias("score"), F.max_by("snippet", "score").alias("snippet"))
+    best = chaps.groupBy("novel_id", "chapter_id").agg(F.max("score").alias("score"), F.max_by("snippet", F.struct("score", "snippet")).alias("snippet"))
     return _leveled("paragraph", search.top(paras, paragraphs, *PARAGRAPH), "snippet", paragraphs).unionByName(_leveled("chapter", search.top(best, chapters, "novel_id", "chapter_id"), "snippet", chapters))
 
 

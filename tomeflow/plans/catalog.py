@@ -64,7 +64,13 @@ def chapter_by_title(lib: Library) -> DataFrame:
 
 @query
 def novel_hierarchy(lib: Library) -> DataFrame:
-    return search.hierarchy(lib.novels, lib.plots, lib.chapters, lib.first_summaries, NOVEL, 1, 6)
+    rows = search.hierarchy(lib.novels, lib.plots, lib.chapters, lib.first_summaries, NOVEL, 1, 6)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    lines = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(text(x[f]) for f in fields))), "\n")
+    return rows.select(
+        "novel_id", "title", "overall_summary", "chapter_count", "warning", lines("plot_summaries", "plot_index", "volume_title", "start_chapter", "end_chapter", "summary").alias("plots"),
+        lines("chapters", "chapter_index", "chapter_id", "chapter_title", "summary").alias("chapters"),
+    )
 
 
 @query

@@ -327,3 +327,112 @@ SELECT item_pos, CASE WHEN regexp_matches(lower(s), '请提供.*(内容|主题|
 SQL["plot_ranges"] = f"""{ALL}, j AS (SELECT p.novel_id, plot_index, max(CASE WHEN length(start_chapter) > 0 AND (contains(coalesce(title, ''), start_chapter) OR chapter_id = start_chapter) THEN chapter_index END) AS first_index,
   max(CASE WHEN length(end_chapter) > 0 AND (contains(coalesce(title, ''), end_chapter) OR chapter_id = end_chapter) THEN chapter_index END) AS last_index FROM plots_ p JOIN chapters_ c ON c.novel_id = p.novel_id GROUP BY 1, 2)
 SELECT * FROM j WHERE first_index IS NOT NULL AND last_index IS NOT NULL"""
+
+# ---- pages
+
+
+_PAGE_LINES = f"list_filter(string_split(content, chr(10)), lambda x: {strip('x')} <> '' AND {strip('x')} <> {strip('title')})"
+SQL["html_pages"] = f"""{ALL} SELECT novel_id, chapter_id, '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || {_ESC('title')} || '</title><link rel="stylesheet" type="text/css" href="style/default.css"/></head><body>' || chr(10)
+  || array_to_string(list_prepend('<h2>' || {_ESC('title')} || '</h2>', list_transform({_PAGE_LINES}, lambda x: '<p>' || {_ESC('x')} || '</p>')), chr(10)) || chr(10) || '</body></html>' AS page
+FROM chapters_ WHERE content IS NOT NULL AND title IS NOT NULL"""
+# what was escaped comes back, so the text is the title, twice, and the lines
+SQL["html_strip"] = f"{ALL} SELECT novel_id, chapter_id, {collapse(f"title || ' ' || array_to_string(list_prepend(title, {_PAGE_LINES}), ' ')")} AS text FROM chapters_ WHERE content IS NOT NULL AND title IS NOT NULL"
+
+_RESERVED = ["novel_id", "novel_title", "content_type", "chapter_id", "chapter_index", "chapter_title", "volume_title"]
+_FILLED = lambda c: f"nullif(CAST({c} AS VARCHAR), '')"
+SQL["chunk_metadata"] = "SELECT vec_id, " + ", ".join(f"coalesce({_FILLED(c)}, metadata['{c}']) AS {a}" for c, a in (("novel_id", "m_novel"), ("chapter_index", "m_index"))) + ", metadata['site'] AS m_site, CAST(coalesce(cardinality(metadata), 0) + " + " + ".join(
+    f"CASE WHEN {_FILLED(c)} IS NOT NULL AND NOT coalesce(map_contains(metadata, '{c}'), false) THEN 1 ELSE 0 END" for c in _RESERVED
+) + " AS INTEGER) AS n FROM chunks"
+
+_LINE = lambda *fields: "concat_ws('|', " + ", ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields) + ")"
+SQL["novel_hierarchy"] = f"""{ALL}, r_ AS (SELECT c.chapter_index, c.chapter_id, c.title, coalesce(s.summary, '') AS summary FROM chapters_ c LEFT JOIN first_ s ON s.novel_id = c.novel_id AND s.chapter_id = c.chapter_id WHERE c.novel_id = '{NOVEL}' AND c.chapter_index BETWEEN 1 AND 6)
+SELECT novel_id, title, coalesce(summary, '') AS overall_summary, (SELECT count(*) FROM chapters_ c WHERE c.novel_id = n.novel_id) AS chapter_count, CAST(NULL AS VARCHAR) AS warning,
+  (SELECT string_agg({_LINE('plot_index', 'volume_title', 'start_chapter', 'end_chapter', 'p.summary')}, chr(10) ORDER BY plot_index) FROM plots_ p WHERE p.novel_id = n.novel_id) AS plots,
+  (SELECT string_agg({_LINE('chapter_index', 'chapter_id', 'r.title', 'r.summary')}, chr(10) ORDER BY chapter_index, chapter_id, r.title NULLS FIRST, r.summary) FROM r_ r) AS chapters
+FROM novels_ n WHERE novel_id = '{NOVEL}'"""
+
+# ---- chapters out of documents
+
+_START = "^(第.{1,10}章|Chapter [0-9]+)"
+_SPLIT = rf"""l_ AS (SELECT raw_id, novel_id, line_no, line, sum(CASE WHEN regexp_matches(line, '{_START}') THEN 1 ELSE 0 END) OVER (PARTITION BY raw_id ORDER BY line_no) AS part,
+    bool_or(regexp_matches(line, '{_START}')) OVER (PARTITION BY raw_id) AS has FROM (SELECT raw_id, novel_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT raw_id, novel_id, string_split(content, chr(10)) AS l FROM d_ WHERE parts IS NULL AND content IS NOT NULL))),
+txt_ AS (SELECT raw_id, any_value(novel_id) AS novel_id, CAST(CASE WHEN has THEN part - 1 ELSE 0 END AS INTEGER) AS chapter_index, CASE WHEN has THEN {strip(f"regexp_extract(first(line ORDER BY line_no), '{_START}')")} ELSE '' END AS title, {strip("string_agg(line, chr(10) ORDER BY line_no)")} AS content
+  FROM l_ WHERE part > 0 OR NOT has GROUP BY raw_id, has, part)"""
+_COVERS = quoted(["封面", "目录", "扉页", "前言", "序", "序章", "引子", "楔子"])
+_PARTS_SQL = f"""t_ AS (SELECT raw_id, novel_id, list_transform(list_filter(coalesce(toc, []), lambda x: x <> ''), lambda x: {strip('x')}) AS t, parts AS p FROM d_ WHERE parts IS NOT NULL),
+u_ AS (SELECT raw_id, novel_id, p, CASE WHEN len(t) > 0 AND t[1] IN ({_COVERS}) AND (len(t) = len(p) + 1 OR len(p) > 0 AND NOT contains(substring(coalesce(p[1], ''), 1, 200), t[1]) AND (coalesce(contains(substring(coalesce(p[1], ''), 1, 200), t[2]), false) OR len(t) > len(p))) THEN t[2:] ELSE t END AS t FROM t_),
+epub_ AS (SELECT raw_id, novel_id, CAST(i AS INTEGER) AS chapter_index, coalesce(t[i + 1], 'Chapter ' || (i + 1)) AS title, coalesce(p[i + 1], '') AS content FROM (SELECT *, unnest(range(greatest(len(t), len(p)))) AS i FROM u_))"""
+_STEM = r"regexp_extract(file_path, '([^/]*?)(\.[^./]*)?$', 1)"
+_DOCS = rf"d_ AS (SELECT *, regexp_replace(regexp_replace(lower(coalesce(nullif(title, ''), {_STEM})), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS novel_id FROM raw_documents)"
+_ID = "printf('ch_%04d', chapter_index) AS chapter_id"
+SQL["txt_chapters"] = f"WITH {_DOCS}, {_SPLIT} SELECT raw_id, chapter_index, {_ID}, title, content FROM txt_"
+SQL["epub_chapters"] = f"WITH {_DOCS}, {_PARTS_SQL} SELECT raw_id, chapter_index, {_ID}, title, content FROM epub_"
+SQL["segmented_documents"] = f"WITH {_DOCS}, {_SPLIT}, {_PARTS_SQL} SELECT raw_id, novel_id, chapter_index, {_ID} FROM txt_ UNION ALL SELECT raw_id, novel_id, chapter_index, {_ID} FROM epub_"
+
+# ---- model's answers
+
+_VALUE = lambda j, k: f"json_extract({j}, '$.{k}')"
+_TEXT = lambda j: f"json_extract_string({j}, '$')"
+
+
+def _of_key(k: str) -> str:
+    v = _VALUE("j", k)
+    nested = "coalesce(" + ", ".join(f"nullif({strip(f"coalesce({_TEXT(_VALUE(v, n))}, '')")}, '')" for n in ("summary", "answer", "content")) + ")"
+    items = f"nullif(array_to_string(list_filter(list_transform(CAST({v} AS JSON[]), lambda x: {strip(_TEXT('x'))}), lambda x: x <> ''), chr(10)), '')"
+    return f"CASE json_type({v}) WHEN 'OBJECT' THEN {nested} WHEN 'ARRAY' THEN {items} ELSE nullif({strip(f"coalesce({_TEXT(v)}, '')")}, '') END"
+
+
+SQL["json_summaries"] = rf"""WITH e AS (SELECT state_id, unnest(map_keys(segment_results)) AS segment_no, unnest(map_values(segment_results)) AS v FROM chapter_task_states),
+s AS (SELECT state_id, segment_no, {strip('v')} AS t, regexp_extract({strip('v')}, '(?s)\{{.*\}}') AS inner_ FROM e WHERE v IS NOT NULL),
+p AS (SELECT state_id, segment_no, t, CASE WHEN t <> '' AND json_valid(t) THEN CAST(t AS JSON) WHEN inner_ <> '' AND json_valid(inner_) THEN CAST(inner_ AS JSON) END AS j FROM s)
+SELECT state_id, segment_no, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN t ELSE coalesce({", ".join(_of_key(k) for k in ("summary", "answer", "content", "raw"))}, '') END AS summary FROM p"""
+
+# ---- compositions
+
+
+def _paragraph_hits(q: str, k: int, source: str = "paragraphs_") -> str:
+    return f"SELECT novel_id, chapter_id, chapter_index, chapter_title, paragraph_index, {kw('text', q)} AS score, substring(text, 1, 300) AS snippet FROM {source} WHERE score > 0 ORDER BY score DESC, novel_id, chapter_index NULLS FIRST, chapter_id, paragraph_index LIMIT {k}"
+
+
+def _recall(queries: list[str], k: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT {i} AS query_no, * FROM ({_paragraph_hits(q, k)})" for i, q in enumerate(queries))
+    return f"SELECT * EXCLUDE (query_no) FROM ({parts}) QUALIFY row_number() OVER (PARTITION BY novel_id, chapter_id, paragraph_index ORDER BY query_no) = 1"
+
+
+def _chapter_search(q: str, k: int, qualified: bool = False) -> str:
+    known = "(novel_id, chapter_id) NOT IN (SELECT (novel_id, chapter_id) FROM a)" if qualified else "chapter_id NOT IN (SELECT chapter_id FROM a)"
+    return f"""SELECT * FROM (WITH a AS ({_SUMMARY_HITS.format(score=kw('summary', q), k=k)}),
+b AS (SELECT novel_id, chapter_id, title AS chapter_title, {kw('content', q)} AS score, substring(content, 1, 300) AS snippet, chapter_index FROM chapters_ WHERE score > 0 AND {known} ORDER BY score DESC, novel_id, chapter_index NULLS FIRST, chapter_id LIMIT {k})
+SELECT 1 AS stage, row_number() OVER (ORDER BY score DESC, novel_id, chapter_id, item_pos) AS rank, novel_id, chapter_id, score, snippet FROM a
+UNION ALL SELECT 2, row_number() OVER (ORDER BY score DESC, novel_id, chapter_id), novel_id, chapter_id, score, snippet FROM b ORDER BY stage, rank LIMIT {k})"""
+
+
+_HIT = lambda level, text, chapter="chapter_id", paragraph="NULL": f"'{level}' AS level, novel_id, CAST({chapter} AS VARCHAR) AS chapter_id, CAST({paragraph} AS INTEGER) AS paragraph_index, CAST(score AS DOUBLE) AS score, {text} AS text"
+_OVERVIEWS = f"SELECT {_HIT('overview', 'summary', 'NULL')} FROM ({SQL['novel_weighted_keyword']}) ORDER BY score DESC, novel_id LIMIT 3"
+_PLOT_HITS = f"SELECT {_HIT('plot', 'summary', 'NULL')} FROM (SELECT * FROM ({SQL['plot_keyword']}) ORDER BY score DESC, novel_id, plot_index LIMIT 5)"
+
+
+def _comprehensive(recall: list[str]) -> str:
+    found = f"f_ AS ({_paragraph_hits(KEYWORD, 10)})" + (f", m_ AS ({_recall(recall, 20)})" if recall else "")
+    more = " UNION ALL SELECT 2 AS stage, * FROM m_ WHERE (novel_id, chapter_id, paragraph_index) NOT IN (SELECT (novel_id, chapter_id, paragraph_index) FROM f_)" if recall else ""
+    return f"""{ALL}, {paragraphs()}, {found}, p_ AS (SELECT 1 AS stage, * FROM f_{more}),
+hits_ AS (SELECT * FROM ({_OVERVIEWS}) UNION ALL SELECT * FROM ({_PLOT_HITS}) UNION ALL SELECT {_HIT('chapter', 'snippet')} FROM (SELECT * FROM ({_chapter_search(KEYWORD, 10)}) ORDER BY stage, rank LIMIT 8)
+  UNION ALL SELECT {_HIT('paragraph', 'snippet', paragraph='paragraph_index')} FROM (SELECT * FROM p_ ORDER BY stage, score DESC, novel_id, chapter_index NULLS FIRST, chapter_id, paragraph_index LIMIT 15))"""
+
+
+SQL["keyword_recall"] = f"{ALL}, {paragraphs()} {_recall([KEYWORD, WORD], 20)}"
+SQL["comprehensive_answer"] = f"{_comprehensive([WORD])} SELECT * FROM hits_"
+SQL["answer_sufficiency"] = f"{_comprehensive([])}, n_ AS (SELECT level, count(*) AS n FROM hits_ GROUP BY 1) SELECT level, n, CAST(sum(n) OVER () AS BIGINT) AS total, sum(n) OVER () >= 5 AS enough FROM n_"
+SQL["answer_context"] = f"""{_comprehensive([])}, o_ AS (SELECT level, text, row_number() OVER (PARTITION BY level ORDER BY score DESC, novel_id, chapter_id NULLS FIRST, paragraph_index NULLS FIRST, text) AS i FROM hits_)
+SELECT level, substring(string_agg(i || '. ' || coalesce(text, ''), chr(10) ORDER BY i), 1, 4000) AS text FROM o_ GROUP BY level"""
+SQL["rewritten_answer"] = f"""{ALL}, {paragraphs()}, r_ AS ({_recall([KEYWORD, WORD], 5)}),
+c_ AS (SELECT novel_id, chapter_id, score, snippet FROM ({_chapter_search(KEYWORD, 5, True)} UNION ALL {_chapter_search(WORD, 5, True)}) QUALIFY row_number() OVER (PARTITION BY novel_id, chapter_id ORDER BY score DESC, snippet DESC NULLS LAST) = 1)
+SELECT {_HIT('paragraph', 'snippet', paragraph='paragraph_index')} FROM (SELECT * FROM r_ ORDER BY score DESC, novel_id, chapter_id, paragraph_index LIMIT 15)
+UNION ALL SELECT {_HIT('chapter', 'snippet')} FROM (SELECT * FROM c_ ORDER BY score DESC, novel_id, chapter_id LIMIT 10)"""
+SQL["hierarchical_answer"] = f"""{ALL}, {paragraphs()}, tp_ AS (SELECT novel_id AS n_, plot_index AS i_ FROM ({SQL['plot_keyword']}) ORDER BY score DESC, novel_id, plot_index LIMIT 5),
+rg_ AS (SELECT g.* FROM ({SQL['plot_ranges']}) g JOIN tp_ ON n_ = g.novel_id AND i_ = g.plot_index),
+w_ AS (SELECT DISTINCT c.novel_id, c.chapter_id FROM chapters_ c JOIN rg_ g ON g.novel_id = c.novel_id WHERE c.chapter_index BETWEEN first_index AND last_index),
+s_ AS (SELECT *, {kw('summary')} AS score FROM last_ WHERE (novel_id, chapter_id) IN (SELECT (novel_id, chapter_id) FROM w_) AND length(summary) > 0 AND score > 0 ORDER BY score DESC, novel_id, chapter_id, item_pos LIMIT 10),
+wp_ AS (SELECT * FROM paragraphs_ WHERE (novel_id, chapter_id) IN (SELECT (novel_id, chapter_id) FROM w_))
+SELECT * FROM ({_OVERVIEWS}) UNION ALL SELECT * FROM ({_PLOT_HITS}) UNION ALL SELECT {_HIT('chapter', 'substring(summary, 1, 300)')} FROM s_ UNION ALL SELECT {_HIT('paragraph', 'snippet', paragraph='paragraph_index')} FROM ({_paragraph_hits(KEYWORD, 15, 'wp_')})"""
+
