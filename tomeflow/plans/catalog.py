@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tomeflow.functions import html, text as T
-from tomeflow.operators import access, answers, audit, chunks, cleaning, export, progress, search, segment, volumes
+from tomeflow.operators import access, answers, audit, chunks, cleaning, export, progress, search, segment, summarize, volumes
 from tomeflow.plans import oracle
 from tomeflow.plans.oracle import ADS, FINGERPRINTS, KEYWORD, KINDS, NOVEL, PATTERNS, TERMS, TITLE, WEAK, WORD
+from tomeflow.providers import OpeningProvider
 from tomeflow.sources.library import Library, latest
 from tomeflow.streaming.ingest import segmented
 
@@ -347,6 +348,13 @@ def audit_rules(lib: Library) -> DataFrame:
     return rows.select("audit_id", "score", F.array_join("reasons", "|").alias("why"))
 
 
+@query
+def audit_defaults(lib: Library) -> DataFrame:
+    """By the engine's own failure patterns, over the texts of all answers."""
+    rows = lib.table("chapter_task_states").select("state_id", F.explode("segment_results").alias("segment_no", "summary")).unionByName(lib.table("chapter_task_states").select("state_id", F.explode("segment_errors").alias("segment_no", "summary")))
+    return audit.audit(rows).select("state_id", "segment_no", "score", F.array_join("reasons", "|").alias("why"))
+
+
 @query
 def audit_fingerprint_contains(lib: Library) -> DataFrame:
     rows = audit.audit(lib.table("suspicious_summaries").select("audit_id", "summary"), _prints(lib), 0, 2.0, ["(?!)"])
@@ -402,6 +410,18 @@ def confident_texts(lib: Library) -> DataFrame:
     return lib.summaries.select("item_pos", T.confident("summary", [*T.UNSURE, WORD]).alias("sure"))
 
 
+@query
+def map_reduce_summaries(lib: Library) -> DataFrame:
+    return summarize.chapter_summaries(lib.chapters.select("novel_id", "chapter_id", "content"), ["novel_id", "chapter_id"], "content", OpeningProvider(120), 800, 100_000)
+
+
+@query
+def until_fit_summaries(lib: Library) -> DataFrame:
+    """With a limit that the joined summaries of long chapters pass, so that some go through more passes."""
+    rows = summarize.chapter_summaries(lib.chapters.select("novel_id", "chapter_id", "content"), ["novel_id", "chapter_id"], "content", OpeningProvider(120), 400, 300)
+    return rows.select("novel_id", "chapter_id", (F.length("summary") > 0).alias("told"), (F.length("summary") <= 120).alias("fits"), "had_error")
+
+
 # ---- progress and consistency
 
 

@@ -436,3 +436,27 @@ s_ AS (SELECT *, {kw('summary')} AS score FROM last_ WHERE (novel_id, chapter_id
 wp_ AS (SELECT * FROM paragraphs_ WHERE (novel_id, chapter_id) IN (SELECT (novel_id, chapter_id) FROM w_))
 SELECT * FROM ({_OVERVIEWS}) UNION ALL SELECT * FROM ({_PLOT_HITS}) UNION ALL SELECT {_HIT('chapter', 'substring(summary, 1, 300)')} FROM s_ UNION ALL SELECT {_HIT('paragraph', 'snippet', paragraph='paragraph_index')} FROM ({_paragraph_hits(KEYWORD, 15, 'wp_')})"""
 
+# ---- failures and summaries
+
+
+def _failed(c: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, '(?i){p.replace(chr(92) + 's', WS)}')" for p in patterns) + ")"
+
+
+def _failure_patterns() -> tuple[list[str], list[str]]:
+    from tomeflow.functions.text import FAILURE_PATTERNS, INVALID_PATTERNS
+
+    return FAILURE_PATTERNS, INVALID_PATTERNS
+
+
+_FAILURES, _INVALID = _failure_patterns()
+SQL["audit_defaults"] = f"""WITH t AS (SELECT state_id, unnest(map_keys(segment_results)) AS segment_no, unnest(map_values(segment_results)) AS summary FROM chapter_task_states
+  UNION ALL SELECT state_id, unnest(map_keys(segment_errors)), unnest(map_values(segment_errors)) FROM chapter_task_states),
+a AS (SELECT state_id, segment_no, length({_NORM}) < 20 AS short, {_failed('summary', _FAILURES)} AS failed, {_RUN} AS run FROM t WHERE {NOT_BLANK('summary')})
+SELECT state_id, segment_no, CAST(round(CASE WHEN short THEN 0.45 ELSE 0 END + CASE WHEN failed THEN 0.9 ELSE 0 END + CASE WHEN run THEN 0.3 ELSE 0 END, 3) AS DOUBLE) AS score,
+  concat_ws('|', CASE WHEN short THEN 'too_short<20' END, CASE WHEN failed THEN 'matches_failure_pattern' END, CASE WHEN run THEN 'repeated_chars' END) AS why FROM a WHERE short OR failed OR run"""
+_CLEAN = lambda c: f"CASE WHEN {_failed(f'lower({strip(c)})', _INVALID)} THEN '' ELSE {strip(c)} END"
+SQL["map_reduce_summaries"] = f"""WITH seg_ AS (SELECT * FROM ({SQL['segment_pack']})), told_ AS (SELECT novel_id, chapter_id, segment_index, {_CLEAN('substring(text, 1, 120)')} AS t FROM seg_),
+whole_ AS (SELECT novel_id, chapter_id, coalesce(string_agg(t, chr(10) ORDER BY segment_index) FILTER (t <> ''), '') AS t FROM told_ GROUP BY 1, 2), {CHAPTERS}
+SELECT c.novel_id, c.chapter_id, coalesce({_CLEAN('substring(w.t, 1, 120)')}, '') AS summary, false AS had_error FROM chapters_ c LEFT JOIN whole_ w ON w.novel_id = c.novel_id AND w.chapter_id = c.chapter_id"""
+SQL["until_fit_summaries"] = f"{ALL} SELECT novel_id, chapter_id, {NOT_BLANK('content')} AS told, true AS fits, false AS had_error FROM chapters_"

@@ -53,6 +53,16 @@ class HashProvider(NoProvider):
         return out if any(out) else []
 
 
+class OpeningProvider(NoProvider):
+    """Deterministic stand-in whose summary of a text is its beginning."""
+
+    def __init__(self, chars: int = 120):
+        self.chars = chars
+
+    def analyze_plot(self, text: str) -> dict[str, Any]:
+        return {"summary": text[: self.chars]}
+
+
 class GatewayProvider(NoProvider):
     """A model behind HTTP: POST of JSON to ``/v1/analyze`` and ``/v1/embed``; failures give nothing."""
 
@@ -74,7 +84,7 @@ class GatewayProvider(NoProvider):
         return self._post("/v1/embed", {"text": text[: self.max_chars]}).get("vector") or []
 
 
-REGISTRY: dict[str, type] = {"none": NoProvider, "hash": HashProvider, "gateway": GatewayProvider}
+REGISTRY: dict[str, type] = {"none": NoProvider, "hash": HashProvider, "opening": OpeningProvider, "gateway": GatewayProvider}
 
 
 def register(name: str, provider: type) -> None:
