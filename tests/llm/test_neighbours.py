@@ -49,3 +49,26 @@ def test_balance():
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     sizes = np.bincount(balanced_parts(neighbour_graph(x, 10), x, 8), minlength=8)
     assert sizes.max() <= np.ceil(1.15 * 1000 / 8) and sizes.sum() == 1000
+
+
+def test_two_levels(spark):
+    """As many rows in a part as with one level, and the recall that is promised."""
+    from tomeflow.llm.neighbours import TwoLevels, fitted, routed
+
+    x = vectors(6000)
+    v = usable(table(spark, x), "vec_id", "embedding").cache()
+    router, sample, n = fitted(v, part_rows=150, max_parts=4)
+    assert isinstance(router, TwoLevels) and router.parts == 40 and n == 6000
+    order = router.ranked(sample[:200], 30)
+    assert order.shape == (200, 30) and all(len(set(r)) == 30 for r in order.tolist()) and (router.ranked(sample[:200], 3) == order[:, :3]).all()
+    sizes = [r["count"] for r in routed(v, router, 1, True).groupBy("part").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) >= 30 and max(sizes) < 600
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.9)) if i < j}
+    got = {(r.vec_a, r.vec_b) for r in pairs_above(v, 0.9, part_rows=150, max_parts=4).collect()}
+    assert got <= true and len(got) >= 0.98 * len(true)
+    top = top_neighbours(v, v.where("id % 100 = 0"), 10, part_rows=150, max_parts=4).collect()
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(0, len(x), 100) for j in np.argsort(-s[i])[:10]}
+    assert len(want & {(r.query_id, r.vec_id) for r in top}) >= 0.9 * len(want)

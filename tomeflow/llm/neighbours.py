@@ -7,10 +7,12 @@ routed to its ``probes`` most probable parts and reranked exactly there. How man
 is measured on the sample before the search.
 
 Parts are searched in blocks of at most ``block`` rows on either side, so that a part that holds
-any share of all rows is spread over many tasks and nothing grows with it. Only the classifier
-(64 numbers a part) and the parts' sizes, both bounded by ``max_parts``, are sent to all workers.
+any share of all rows is spread over many tasks and nothing grows with it. Above ``MAX_PARTS`` *
+``PART_ROWS`` vectors each part has a router of its own into up to ``MAX_SUB`` parts, and the sub-parts of
+a query's most probable parts are ranked together. Only the classifiers (65 numbers a part) and the
+parts' sizes, both bounded, are sent to all workers.
 
-Bounds of the fit: at most ``max_sample`` vectors and ``max_parts`` parts. All rows are indexed.
+Bounds of the fit: at most ``MAX_SAMPLE`` vectors, and ``SAMPLE_PER_PART`` for each part of a second level. All rows are indexed.
 Vectors that are null, of another length, all zero, or hold a null or non-finite number take no
 part. Copied rows take part like others. Ties in similarity are broken by the smaller id.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from tomeflow.session import checkpointed
 
 DIM = 64
-PART_ROWS, MAX_PARTS, MAX_SAMPLE, SAMPLE_PER_PART = 2048, 1024, 32_768, 48
+PART_ROWS, MAX_PARTS, MAX_SUB, REACH, MAX_SAMPLE, SAMPLE_PER_PART = 2048, 1024, 64, 16, 32_768, 48
 BLOCK = 4096
 TASK_ROWS = 1 << 15
 NEIGHBOURS, EPOCHS, SEED = 10, 40, 5
@@ -53,6 +55,40 @@ class Router:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=-1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+
+
+@dataclass
+class TwoLevels:
+    """A router of each part's own beneath the first one. weights: (parts, dim, sub); bias: (parts, sub). Ranks the sub-parts of a row's ``REACH`` most probable parts."""
+
+    first: Router
+    weights: np.ndarray
+    bias: np.ndarray
+
+    @property
+    def parts(self) -> int:
+        return self.bias.size
+
+    def ranked(self, x: np.ndarray, probes: int) -> np.ndarray:
+        parts, sub = self.bias.shape
+        reach = min(REACH, parts)
+        order = self.first.ranked(x, reach)
+        sure = np.take_along_axis(_log_softmax(x @ self.first.weights + self.first.bias), order, axis=1)
+        score = np.empty((len(x), reach, sub), np.float32)
+        for p in np.unique(order):
+            row, at = np.nonzero(order == p)
+            score[row, at] = sure[row, at][:, None] + _log_softmax(x[row] @ self.weights[p] + self.bias[p])
+        score = score.reshape(len(x), -1)
+        ids = (order[:, :, None] * sub + np.arange(sub)).reshape(len(x), -1)
+        probes = min(probes, score.shape[1])
+        top = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
+        return np.take_along_axis(ids, top, axis=1)
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k most similar others of each row, by brute force in blocks."""
     n = len(x)
@@ -137,8 +173,14 @@ def probes_for_pairs(router: Router, x: np.ndarray, least: float, cover: float =
     y = least * x + np.sqrt(max(0.0, 1 - least * least)) * noise
     a, b = router.ranked(x, router.parts), router.ranked(y, router.parts)
     # a pair is found if either is routed to the other's home
-    need = np.minimum((a == b[:, :1]).argmax(axis=1), (b == a[:, :1]).argmax(axis=1)) + 1
-    return int(np.ceil(np.quantile(need, cover)))
+    need = np.minimum(_place(a, b[:, :1]), _place(b, a[:, :1]))
+    return min(a.shape[1], int(np.ceil(np.quantile(need, cover))))
+
+
+def _place(order: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """From 1, the place of the wanted part in each row; one more than there are where it isn't among them."""
+    same = order == wanted
+    return np.where(same.any(axis=1), same.argmax(axis=1) + 1, order.shape[1] + 1)
 
 
 def probes_for_top(router: Router, x: np.ndarray, k: int, cover: float = COVER_TOP) -> int:
@@ -146,11 +188,9 @@ def probes_for_top(router: Router, x: np.ndarray, k: int, cover: float = COVER_T
     if router.parts == 1 or len(x) < 3:
         return router.parts
     graph = neighbour_graph(x, k)[:2048]
-    order = router.ranked(x, router.parts)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(router.parts)[None, :].repeat(len(x), 0), axis=1)
-    need = np.take_along_axis(rank[:2048], order[graph, 0], axis=1) + 1
-    return int(np.ceil(np.quantile(need, cover)))
+    order, home = router.ranked(x[:2048], router.parts), router.ranked(x, 1)[:, 0]
+    need = np.concatenate([_place(order, home[graph[:, i]][:, None]) for i in range(graph.shape[1])])
+    return min(order.shape[1], int(np.ceil(np.quantile(need, cover))))
 
 
 def unit_rows(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -187,23 +227,51 @@ def _rows(column, dim: int = DIM) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
 
 
-def fitted(vectors: DataFrame, dim: int = DIM, part_rows: int = PART_ROWS) -> tuple[Router, np.ndarray, int]:
-    """(router, sample, number of vectors). The sample is at most MAX_SAMPLE rows."""
+def fitted(vectors: DataFrame, dim: int = DIM, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> tuple[Router | TwoLevels, np.ndarray, int]:
+    """(router, sample, number of vectors). The sample is at most MAX_SAMPLE rows; what a second level needs besides is fitted by the workers."""
     n = vectors.count()
-    parts = int(min(MAX_PARTS, max(1, round(n / part_rows))))
+    parts = int(min(max_parts, max(1, round(n / part_rows))))
     want = min(MAX_SAMPLE, max(8192, SAMPLE_PER_PART * parts))
     rows = vectors.select("v") if n <= want else vectors.select("v").sample(False, min(1.0, 1.05 * want / n), SEED).limit(want)
     sample = _rows([r[0] for r in rows.collect()], dim) if n else np.zeros((0, dim), np.float32)
     sample = sample[np.random.default_rng(SEED).permutation(len(sample))]  # what is measured on a part of it must not follow the scan
-    return fit_router(sample, parts) if len(sample) else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32)), sample, n
+    if not len(sample):
+        return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32)), sample, n
+    router = fit_router(sample, parts)
+    sub = min(MAX_SUB, -(-n // (max_parts * part_rows)))
+    return (second_level(vectors, router, sub, dim) if sub > 1 and router.parts > 1 else router), sample, n
+
+
+def second_level(vectors: DataFrame, router: Router, sub: int, dim: int = DIM) -> TwoLevels:
+    """A router into ``sub`` parts of each part, fitted where its rows are, on about SAMPLE_PER_PART rows for each of them however many a part has.
+
+    At most MAX_PARTS rows of MAX_SUB * (dim + 1) numbers reach the driver, and from there all workers.
+    """
+    homes = routed(vectors, router, 1, True, dim).select("part", "v")
+    want = max(16 * sub, SAMPLE_PER_PART * sub)
+    rates = {r["part"]: min(1.0, want / r["n"]) for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}
+
+    def fit(group):
+        import pandas as pd
+
+        r = fit_router(_rows(group["v"], dim), sub)
+        w, b = np.zeros((dim, sub), np.float32), np.full(sub, -1e4, np.float32)
+        w[:, : r.parts], b[: r.parts] = r.weights, r.bias
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "w": [w.tobytes()], "b": [b.tobytes()]})
+
+    weights, bias = np.zeros((router.parts, dim, sub), np.float32), np.full((router.parts, sub), -1e4, np.float32)
+    bias[:, 0] = 0.0  # a part without a row has one sub-part
+    for r in homes.sampleBy("part", rates, SEED).groupBy("part").applyInPandas(fit, "part int, w binary, b binary").collect():
+        weights[r["part"]], bias[r["part"]] = np.frombuffer(r["w"], np.float32).reshape(dim, sub), np.frombuffer(r["b"], np.float32)
+    return TwoLevels(router, weights, bias)
 
 
-def routed(vectors: DataFrame, router: Router, probes: int, base_only: bool = False, dim: int = DIM) -> DataFrame:
+def routed(vectors: DataFrame, router: Router | TwoLevels, probes: int, base_only: bool = False, dim: int = DIM) -> DataFrame:
     """(part, rank, id, v): each vector once for each of its most probable parts; rank 0 is its home."""
-    shared = vectors.sparkSession.sparkContext.broadcast((router.weights, router.bias))
+    shared = vectors.sparkSession.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Router(*shared.value)
+        r = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -219,7 +287,7 @@ def routed(vectors: DataFrame, router: Router, probes: int, base_only: bool = Fa
 
 
 def _block_table(sizes: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """((part, base_blocks, query_blocks), rows that the block pairs have together) of (part, n_base, n_query). One row for each of at most MAX_PARTS parts."""
+    """((part, base_blocks, query_blocks), rows that the block pairs have together) of (part, n_base, n_query). One row for each of at most MAX_PARTS * MAX_SUB parts."""
     count = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / block)).cast("int")
     table = checkpointed(sizes.select("*", count("n_base").alias("base_blocks"), count("n_query").alias("query_blocks")))
     rows = table.agg(F.sum(F.coalesce("n_base", F.lit(0)) * F.col("query_blocks") + F.coalesce("n_query", F.lit(0)) * F.col("base_blocks"))).first()[0] or 0
@@ -256,9 +324,9 @@ def _blocked_among_themselves(routed_rows: DataFrame, block: int) -> DataFrame:
     return _spread(_placed(routed_rows, blocks, F.when(F.col("rank") == 0, F.concat(_entries(False), _entries(True))).otherwise(_entries(True))), n)
 
 
-def pairs_above(vectors: DataFrame, least: float, dim: int = DIM, block: int = BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
+def pairs_above(vectors: DataFrame, least: float, dim: int = DIM, block: int = BLOCK, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
     """(vec_a, vec_b), vec_a < vec_b: pairs with a cosine of at least ``least``. vectors: (id, v) as ``usable`` gives them; ids are unique."""
-    router, sample, _ = fitted(vectors, dim, part_rows)
+    router, sample, _ = fitted(vectors, dim, part_rows, max_parts)
     probes = probes_for_pairs(router, sample, least) if len(sample) else 1
     everywhere = routed(vectors, router, probes, dim=dim)
 
@@ -284,11 +352,11 @@ def pairs_above(vectors: DataFrame, least: float, dim: int = DIM, block: int = B
     return rows.groupBy("part", "base_block", "query_block").applyInPandas(found, "vec_a bigint, vec_b bigint").distinct()
 
 
-def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int = DIM, block: int = BLOCK, part_rows: int = PART_ROWS, cover: float = COVER_TOP) -> DataFrame:
+def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int = DIM, block: int = BLOCK, part_rows: int = PART_ROWS, cover: float = COVER_TOP, max_parts: int = MAX_PARTS) -> DataFrame:
     """(query_id, vec_id, rank, cosine): the k most similar other vectors of each query. Both: (id, v) as ``usable`` gives them."""
     from pyspark.sql import Window
 
-    router, sample, _ = fitted(vectors, dim, part_rows)
+    router, sample, _ = fitted(vectors, dim, part_rows, max_parts)
     probes = probes_for_top(router, sample, k, cover) if len(sample) else 1
 
     def best(group):
