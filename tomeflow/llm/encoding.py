@@ -136,6 +136,8 @@ WIDE = {"gbk": "gb18030", "big5": "cp950", "cp932": "cp932", "cp949": "cp949", "
 CONTROLS = [*map(chr, range(0x80, 0xA1)), "\xad"]
 #: what is one byte in cp932 besides ASCII: half-width katakana and the bytes that are no character
 ONE_BYTE = {*map(chr, range(0xFF61, 0xFFA0)), "\x80", "\xa0", "\uf8f1", "\uf8f2", "\uf8f3"}
+ONE_BYTE_RUN = re.compile("[" + "".join(sorted(ONE_BYTE)) + "]")
+WIDE_CHAR, ODD_CHAR = re.compile("[\u2e80-\U0010ffff]"), re.compile("[\x80-\u2e7f]")
 _missed = 0
 
 
@@ -193,7 +195,7 @@ def _encode(text: str, codec: str) -> bytes | None:
     # a quick look at how much the charset has, before its gaps are filled one by one
     raw = text.encode(codec, "ignore")
     if len(raw) < 1.6 * len(text):
-        single = sum(c < "\x80" or codec == "cp932" and c in ONE_BYTE for c in text)
+        single = len(text.encode("ascii", "ignore")) + (len(ONE_BYTE_RUN.findall(text)) if codec == "cp932" else 0)
         if len(raw) + 2 * text.count(LOST) < 0.8 * (2 * (len(text) - single) + single):
             return None
     try:
@@ -278,8 +280,8 @@ def readings(run: str) -> list[tuple[str, tuple[str, str]]]:
     found = _readings.get(run)
     if found is None:
         order = []
-        wide = sum(c >= "\u2e80" for c in run)
-        odd = wide + sum("\x80" <= c < "\u2e80" for c in run)
+        wide = len(WIDE_CHAR.findall(run))
+        odd = wide + len(ODD_CHAR.findall(run))
         for used, rights in BY_USED.items():
             # a charset of one byte has no wide characters, and text read with another one is full of them
             if wide > 0.1 * len(run) if used in NARROW else wide < 0.2 * odd:
@@ -373,7 +375,7 @@ PIECE = re.compile(r"[^\x00-\x7f\ufffd](?:[^\n\ufffd]*[^\x00-\x7f\ufffd])?")
 
 
 def short_wide(text: str, a: int, b: int) -> bool:
-    return b - a < FEW and any(c >= "\u2e80" for c in text[a:b])
+    return b - a < FEW and WIDE_CHAR.search(text, a, b) is not None
 
 
 def whole_pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
