@@ -135,8 +135,7 @@ def _stuffed(units: np.ndarray, words: list[str], clauses: list[str]) -> tuple[f
 def features(text: str | None) -> list[float]:
     if text is None or not text.strip():
         return [0.0] * len(LABELS + FEATURES)
-    total = sum(1 for c in text if not c.isspace()) if len(text) < 200 else len(text) - text.count(" ") - text.count("\n") - text.count("　")
-    total = max(1, total)
+    total = max(1, len(text) - text.count(" ") - text.count("\n") - text.count("　"))
     size = lambda s: len(s) - s.count(" ")
     linked = tagged = priced = listed = closed = short = short_run = item_chars = 0
     run: list[int] = []
@@ -176,12 +175,12 @@ def features(text: str | None) -> list[float]:
                 short_run += end_run()
                 if n < 20:
                     continue
-        has_price = len(line) < 400 and DIGIT.search(line) is not None and PRICE.search(line) is not None
+        has_price = DIGIT.search(line) is not None and PRICE.search(line) is not None
         if line.endswith(CLOSED) and not has_price:
             closed += n
             short_run += end_run()
             continue
-        if has_price or len(line) >= 400 and PRICE.search(line):
+        if has_price:
             parts = [p for p in re.split(r"\s*[|｜;；\n、]\s*|,\s", line) if p]
             good = [p for p in parts if PRICE.search(p) or re.search(r"\d", p) and len(p) < 60]
             if good and sum(map(len, parts)) / len(parts) < 60:
