@@ -1,6 +1,9 @@
+import math
 import random
 
-from tomeflow.llm.truncation import FILTER_BITS, ORDERS, class_of, context_counts, contexts_of, inner_text, truncated_values, valley
+from pyspark.sql import functions as F
+
+from tomeflow.llm.truncation import FILTER_BITS, ORDERS, SMOOTHING, class_of, context_counts, contexts_of, inner_text, truncated_values, valley
 
 SCHEMA = "state_id long, novel_id string, title string, chapter_summary string, segment_results map<int,string>, model_name string, segment_no int, value string"
 
@@ -71,3 +74,16 @@ def test_cut_values(spark):
     assert truncated_values(df.limit(0)).count() == 0
     twice = df.unionByName(df.where("state_id < 40"))
     assert truncated_values(twice).count() == truncated_values(df).count() + 40 + 40 + 2
+
+
+def test_ends_that_nothing_follows(spark):
+    """So many ends of contexts that never go on that the chance of ending is 1 as a double."""
+    n = 60_000
+    whole = F.concat(F.lit("第"), F.col("id"), F.lit("夜，虞照夜在雾港码头藏起半张海图。（未完待续）"))
+    value = F.when(F.col("id") % 100 == 0, F.substring_index(whole, "海图", 1)).otherwise(whole)
+    df = spark.range(n, numPartitions=4).select(F.col("id").alias("state_id"), F.lit("n").alias("novel_id"), F.lit("雾港").alias("title"), value.alias("chapter_summary"), F.lit(None).cast("map<int,string>").alias("segment_results"), F.lit("m").alias("model_name"))
+    got = truncated_values(df).toPandas()
+    assert len(got) == n and set(got["state_id"][got["truncated"]]) == set(range(0, n, 100))
+    chars = df.select(F.sum(F.length("chapter_summary"))).first()[0]
+    goes_on = (1 - n / (chars + 1)) * (SMOOTHING / (n - n // 100 - 1 + SMOOTHING)) ** len(ORDERS)
+    assert math.isclose(got["log_odds"].max(), math.log1p(-goes_on) - math.log(goes_on), rel_tol=1e-12)
